@@ -3,9 +3,88 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilwright.llm import shared_spans
-from veilwright.runtime import table
+from veilwright.llm import mixing, packing, quantiles, shared_spans, tokens
+from veilwright.runtime import cut, table
+
+
+# -- 4: percentiles
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured values of both tables, each record once: ``src_table, grp, day, value``."""
+    corr = table(spark, sf_dir, "corrections").select(F.lit("corrections").alias("src_table"), "correction_id", F.lower(F.trim("detector_source")).alias("grp"), F.to_date("occurred_at").alias("day"), F.col("confidence").alias("value"))
+    corr = corr.dropDuplicates(["correction_id"]).drop("correction_id")
+    mode = table(spark, sf_dir, "mode_results").select(F.lit("mode_results").alias("src_table"), "run_id", F.lower(F.trim("mode")).alias("grp"), F.to_date("run_at").alias("day"), F.when(F.col("processing_time_ms") >= 0, F.col("processing_time_ms")).alias("value"))
+    mode = mode.dropDuplicates(["run_id", "grp"]).drop("run_id")
+    return corr.unionByName(mode)
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ["src_table", "grp"]
+    return quantiles.percentiles(quantiles.summarise(_measured(spark, sf_dir), groups, "value"), groups)
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(quantiles.summarise(_measured(spark, sf_dir), ["src_table", "grp", "day"], "value"), "daily-summaries")
+
+
+def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.percentiles(_daily(spark, sf_dir), ["src_table", "grp", "day"])
+
+
+def p4_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ["src_table", "grp"]
+    return quantiles.percentiles(quantiles.combine(_daily(spark, sf_dir), groups), groups)
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.combine(_daily(spark, sf_dir), ["src_table", "grp"]).select("src_table", "grp", "n")
+
+
+_P4_COUNTS = """
+SELECT 'corrections' AS src_table, lower(trim(detector_source)) AS grp, count(DISTINCT correction_id) AS n
+FROM corrections WHERE confidence IS NOT NULL AND isfinite(confidence) GROUP BY 1, 2
+UNION ALL
+SELECT 'mode_results', lower(trim(mode)), count(DISTINCT run_id)
+FROM mode_results WHERE processing_time_ms >= 0 AND isfinite(processing_time_ms) GROUP BY 1, 2"""
+
+
+# -- 8: containers
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "token-counts")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
+# -- 9: mixing
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report for a total as large as all listed sources together, which small sources cannot follow."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    listed = sizes.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens")).first()[0]
+    return mixing.mix(sizes, targets, total_tokens=listed)[1]
+
+
+# -- 10: shared spans
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +96,17 @@ def p10_shared_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_fraction(docs, shared_spans.shared_spans(docs))
 
 
-QUERIES = {"p10_found": p10_found, "p10_shared_fraction": p10_shared_fraction}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p4_percentiles": p4_percentiles,
+    "p4_daily": p4_daily,
+    "p4_combined": p4_combined,
+    "p4_counts": p4_counts,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
+    "p9_shortfall": p9_shortfall,
+    "p10_found": p10_found,
+    "p10_shared_fraction": p10_shared_fraction,
+}
+SQL: dict[str, str] = {"p4_counts": _P4_COUNTS}
