@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import mixing, packing, quantiles, shared_spans, tokens
+from veilwright.llm import lookalike, mixing, packing, quantiles, shared_spans, splitting, tokens
 from veilwright.runtime import cut, table
 
 
@@ -51,6 +51,54 @@ SELECT 'mode_results', lower(trim(mode)), count(DISTINCT run_id)
 FROM mode_results WHERE processing_time_ms >= 0 AND isfinite(processing_time_ms) GROUP BY 1, 2"""
 
 
+# -- 5: texts that look the same
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' texts with their consistent form under one model learned from all of them."""
+    spans = table(spark, sf_dir, "spans").select(F.lit("spans").alias("src_table"), F.col("span_id").alias("id"), "job_id", "label", "text")
+    calls = table(spark, sf_dir, "mask_calls").select(F.lit("mask_calls").alias("src_table"), F.col("call_id").alias("id"), F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("string").alias("label"), "text")
+    rows = spans.unionByName(calls).where("text is not null")
+    model = lookalike.learn(rows)
+    return rows.withColumn("canonical", lookalike.canonical_udf(model)("text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_canonical(spark, sf_dir).select("src_table", "id", "job_id", "label", F.md5("text").alias("text"), F.md5("canonical").alias("canonical")), "canonical-digests")
+    spans = lookalike.same_look(rows.where("src_table = 'spans'"), "id", ["job_id", "label"])
+    calls = lookalike.same_look(rows.where("src_table = 'mask_calls'"), "id", [])
+    return spans.select(F.lit("spans").alias("src_table"), "id_a", "id_b").unionByName(calls.select(F.lit("mask_calls").alias("src_table"), "id_a", "id_b"))
+
+
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canonical(spark, sf_dir).select("src_table", "id", "canonical").distinct()
+
+
+# -- 6: oversized texts
+
+
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "mask_calls").select(F.lit("mask_calls").alias("src_table"), F.col("call_id").alias("record_id"), "text")
+    files = table(spark, sf_dir, "document_results").select(F.lit("document_results").alias("src_table"), F.col("file_id").alias("record_id"), F.col("full_text").alias("text"))
+    return calls.unionByName(files).where("length(text) > 2000")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_table(_long_texts(spark, sf_dir), ["src_table", "record_id"], "text")
+    return pieces.where("piece_no > 0").select("src_table", "record_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _long_texts(spark, sf_dir).dropDuplicates(["src_table", "record_id"])
+    return splitting.split_table(once, ["src_table", "record_id"], "text")
+
+
+_P6_FOUND = """
+SELECT DISTINCT 'mask_calls' AS src_table, call_id AS record_id FROM mask_calls WHERE length(text) > 2000
+UNION ALL
+SELECT DISTINCT 'document_results', file_id FROM document_results WHERE length(full_text) > 2000"""
+
+
 # -- 8: containers
 
 
@@ -101,6 +149,10 @@ QUERIES = {
     "p4_daily": p4_daily,
     "p4_combined": p4_combined,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_canonical": p5_canonical,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_selection": p9_selection,
@@ -109,4 +161,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_shared_fraction": p10_shared_fraction,
 }
-SQL: dict[str, str] = {"p4_counts": _P4_COUNTS}
+SQL: dict[str, str] = {"p4_counts": _P4_COUNTS, "p6_found": _P6_FOUND}
