@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import lookalike, mixing, packing, quantiles, shared_spans, splitting, tokens
+from veilwright.llm import lookalike, mixing, ocr, packing, quantiles, shared_spans, splitting, tokens
 from veilwright.runtime import cut, table
 
 
@@ -99,6 +99,17 @@ UNION ALL
 SELECT DISTINCT 'document_results', file_id FROM document_results WHERE length(full_text) > 2000"""
 
 
+# -- 7: scanned pages
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.Repair(table(spark, sf_dir, "document_results")).found()
+
+
+def p7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.Repair(table(spark, sf_dir, "document_results")).pages()
+
+
 # -- 8: containers
 
 
@@ -153,6 +164,8 @@ QUERIES = {
     "p5_canonical": p5_canonical,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_pages": p7_pages,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p9_selection": p9_selection,
