@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import lookalike, mixing, ocr, packing, quantiles, shared_spans, splitting, tokens
+from veilwright.llm import lookalike, mixing, ocr, packing, pii, quantiles, shared_spans, splitting, tokens
 from veilwright.runtime import cut, table
 
 
+# -- 2: personal data
+
+#: Key of the surrogates of the registered queries. Applications pass their own secret.
+DEMO_SECRET = "demonstration"
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "mask_calls").select(F.lit("mask_calls").alias("src_table"), F.col("call_id").cast("string").alias("record_id"), F.col("original_text").alias("text"))
+    gold = table(spark, sf_dir, "gold_docs").select(F.lit("gold_docs").alias("src_table"), F.col("doc_id").alias("record_id"), "text")
+    return calls.unionByName(gold).where("text is not null")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect_table(_personal(spark, sf_dir), ["src_table", "record_id"], "text").distinct()
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _personal(spark, sf_dir).dropDuplicates(["src_table", "record_id"])
+    return pii.mask_table(once, ["src_table", "record_id"], "text", DEMO_SECRET)
+
+
 # -- 4: percentiles
 
 
@@ -156,6 +177,8 @@ def p10_shared_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p4_percentiles": p4_percentiles,
     "p4_daily": p4_daily,
     "p4_combined": p4_combined,
