@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import lookalike, mixing, ocr, packing, pii, quantiles, shared_spans, splitting, tokens
+from veilwright.llm import lookalike, mixing, names, ocr, packing, pii, quantiles, shared_spans, splitting, tokens
 from veilwright.runtime import cut, table
 
 
@@ -30,6 +30,17 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask_table(once, ["src_table", "record_id"], "text", DEMO_SECRET)
 
 
+# -- 3: variant spellings of names
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(table(spark, sf_dir, "spans"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(cut(p3_entities(spark, sf_dir), "entities"))
+
+
 # -- 4: percentiles
 
 
@@ -179,6 +190,8 @@ def p10_shared_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_masked": p2_masked,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_percentiles": p4_percentiles,
     "p4_daily": p4_daily,
     "p4_combined": p4_combined,
