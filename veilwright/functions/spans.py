@@ -19,6 +19,11 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` refers to it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column:
     """All matches with their offsets. A capture group must end its match (look-aheads may follow).
 
@@ -26,9 +31,6 @@ def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column
     second regex pass is only made where the first found something.
     """
     text, pat = col(text), F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, pat, F.lit(0))
-    taken = whole if group == 0 else F.regexp_extract_all(text, pat, F.lit(group))
-    zipped = F.arrays_zip(whole.alias("w"), taken.alias("t"), F.slice(F.split(text, pat, -1), F.lit(1), F.size(whole)).alias("gap"))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast(HIT).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -36,8 +38,12 @@ def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column
         hit = F.struct((end - F.length(x["t"])).alias("start"), end.alias("end"), x["t"].alias("text"))
         return F.struct(end.alias("pos"), F.array_append(acc["out"], hit).alias("out"))
 
-    found = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(HIT))
+    def placed(whole: Column) -> Column:
+        taken = whole if group == 0 else F.regexp_extract_all(text, pat, F.lit(group))
+        zipped = F.arrays_zip(whole.alias("w"), taken.alias("t"), F.slice(F.split(text, pat, -1), F.lit(1), F.size(whole)).alias("gap"))
+        return F.when(F.size(whole) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(HIT))
+
+    return let(F.regexp_extract_all(text, pat, F.lit(0)), placed)
 
 
 def literal(value: Column) -> Column:

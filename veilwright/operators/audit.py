@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.functions import spans as S
 from veilwright.operators.masking import ENGINE_VERSION
 
 SOURCES = ("regex", "ner", "manual", "gazetteer")
@@ -23,7 +24,8 @@ def spans_summary(spans: Column, mapping: Column) -> Column:
     """Label, source, confidence and placeholder of each span, without its text. The placeholder is empty unless the
     span's text is the surface that the mapping keeps."""
     back = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(mapping), lambda e: F.struct(e["value"], e["key"]))))
-    return F.transform(spans, lambda s: F.struct(s["label"].alias("label"), s["source"].alias("source"), s["confidence"].alias("confidence"), F.coalesce(F.try_element_at(back, s["text"]), F.lit("")).alias("placeholder")))
+    row = lambda s, b: F.struct(s["label"].alias("label"), s["source"].alias("source"), s["confidence"].alias("confidence"), F.coalesce(F.try_element_at(b, s["text"]), F.lit("")).alias("placeholder"))
+    return S.let(back, lambda b: F.transform(spans, lambda s: row(s, b)))
 
 
 def mask_rows(masked: DataFrame, job_id: str, now: Column, ttl_seconds: int = 86_400) -> tuple[DataFrame, DataFrame]:

@@ -54,9 +54,12 @@ def single(spans: Column) -> Column:
 
 def merge_manual(auto: Column, manual: Column) -> Column:
     """Manual spans replace every automatic span they touch. Manual spans that overlap each other are resolved."""
-    manual = without_overlaps(manual)
-    free = F.filter(auto, lambda a: ~F.exists(manual, lambda m: S.overlaps(a, m)))
-    return S.by_start(F.concat(free, manual))
+
+    def joined(kept: Column) -> Column:
+        free = F.filter(auto, lambda a: ~F.exists(kept, lambda m: S.overlaps(a, m)))
+        return S.by_start(F.concat(free, kept))
+
+    return S.let(without_overlaps(manual), joined)
 
 
 def explode_spans(df: DataFrame, keys: list[str], spans: Column | str = "spans") -> DataFrame:

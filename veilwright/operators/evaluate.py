@@ -41,27 +41,33 @@ def strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def relaxed(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Each gold span, in order, takes the first free predicted span of its label that it overlaps: ``label, tp, fp, fn``."""
-    kind = "array<struct<start:int,end:int,label:string>>"
+    """Each gold span, in order, takes the first free predicted span of its label that it overlaps: ``label, tp, fp, fn``.
 
-    def per_doc(df: DataFrame, name: str) -> DataFrame:
-        seq = F.col("seq") if "seq" in df.columns else F.lit(0)
-        rows = F.array_sort(F.collect_list(F.struct(seq.alias("q"), F.col("start").cast("int"), F.col("end").cast("int"), "label")))
-        return df.groupBy("doc_id").agg(F.transform(rows, lambda r: F.struct(r["start"], r["end"], r["label"])).cast(kind).alias(name))
+    Spans that do not touch cannot meet, so the order-dependent walk runs inside islands of touching spans of one
+    label, never over a whole document.
+    """
 
-    both = per_doc(gold, "gs").join(per_doc(pred, "ps"), "doc_id", "full")
-    gs, ps = (F.coalesce(n, F.array().cast(kind)) for n in ("gs", "ps"))
+    def side(df: DataFrame, gold_side: bool) -> DataFrame:
+        seq = F.col("seq") if "seq" in df.columns else F.struct("start", "end")
+        order = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(seq, "start", "end"))
+        return df.select("doc_id", "label", F.col("start").cast("int"), F.col("end").cast("int"), order.alias("q"), F.lit(gold_side).alias("g"))
+
+    both = side(gold, True).unionByName(side(pred, False))
+    w = Window.partitionBy("doc_id", "label").orderBy("start", "end", "g", "q")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("fresh", (before.isNull() | (F.col("start") >= before)).cast("int")).withColumn("island", F.sum("fresh").over(w))
+    member = F.struct("q", "start", "end")
+    of = lambda g: F.array_sort(F.collect_list(F.when(F.col("g") == g, member)))
+    groups = both.groupBy("doc_id", "label", "island").agg(of(True).alias("gs"), of(False).alias("ps"))
     zero = F.array().cast("array<int>")
 
     def take(used: Column, g: Column) -> Column:
-        free = F.transform(ps, lambda p, i: F.when((p["label"] == g["label"]) & S.overlaps(p, g) & ~F.array_contains(used, i), i))
-        return F.concat(used, F.coalesce(F.slice(F.filter(free, lambda i: i.isNotNull()), 1, 1), zero))
-
-    matched = both.select("doc_id", gs.alias("gs"), ps.alias("ps"), F.aggregate(gs, zero, take).alias("used"))
-    tp = matched.select(F.explode("used").alias("i"), "ps").select(F.get("ps", F.col("i"))["label"].alias("label"), F.lit(1).alias("tp"), F.lit(0).alias("g"), F.lit(0).alias("p"))
-    all_gold = gold.select("label", F.lit(0).alias("tp"), F.lit(1).alias("g"), F.lit(0).alias("p"))
-    all_pred = pred.select("label", F.lit(0).alias("tp"), F.lit(0).alias("g"), F.lit(1).alias("p"))
-    return tp.union(all_gold).union(all_pred).groupBy("label").agg(F.sum("tp").alias("tp"), (F.sum("p") - F.sum("tp")).alias("fp"), (F.sum("g") - F.sum("tp")).alias("fn"))
+        free = F.transform("ps", lambda p, i: F.when(S.overlaps(p, g) & ~F.array_contains(used, i), i))
+        return F.concat(used, F.slice(F.filter(free, lambda i: i.isNotNull()), 1, 1))
+
+    counted = groups.select("label", F.size(F.aggregate("gs", zero, take)).alias("tp"), F.size("gs").alias("n_gold"), F.size("ps").alias("n_pred"))
+    tp = F.sum("tp")
+    return counted.groupBy("label").agg(tp.alias("tp"), (F.sum("n_pred") - tp).alias("fp"), (F.sum("n_gold") - tp).alias("fn"))
 
 
 def islands(spans: DataFrame) -> DataFrame:

@@ -36,8 +36,6 @@ def companies(text: Column | str) -> Column:
 def persons(text: Column | str) -> Column:
     """A known first name and the capitalised word right behind it."""
     text = S.col(text)
-    words = S.matches(text, S.java(_TITLE))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
 
     def joined(p: Column) -> Column:
         gap = F.substring(text, p["a"]["end"] + 1, p["b"]["start"] - p["a"]["end"])
@@ -47,7 +45,12 @@ def persons(text: Column | str) -> Column:
         hit = F.struct(p["a"]["start"].alias("start"), p["b"]["end"].alias("end"), F.substring(text, p["a"]["start"] + 1, p["b"]["end"] - p["a"]["start"]).alias("text"))
         return S.span(hit, "Person", "gazetteer", 0.80)
 
-    return F.when(F.size(words) > 1, F.transform(F.filter(pairs, joined), whole)).otherwise(S.no_spans())
+    def paired(words: Column) -> Column:
+        size = F.size(words)
+        pairs = F.arrays_zip(F.slice(words, F.lit(1), size - 1).alias("a"), F.slice(words, F.lit(2), size - 1).alias("b"))
+        return F.when(size > 1, F.transform(F.filter(pairs, joined), whole)).otherwise(S.no_spans())
+
+    return S.let(S.matches(text, S.java(_TITLE)), paired)
 
 
 def places(text: Column | str, ahead: int = 45) -> Column:

@@ -47,7 +47,8 @@ def term_excluded(surface: Column, names: Column) -> Column:
 
 def not_excluded(spans: Column, names: Column) -> Column:
     """Automatic spans without blocked terms, the document's short names and public bodies."""
-    return F.filter(spans, lambda s: ~(term_excluded(s["text"], names) | (s["label"].isin(*_BODY_LABELS) & gazetteer.is_institution(s["text"]))))
+    body = lambda s: s["label"].isin(*_BODY_LABELS) & gazetteer.is_institution(s["text"])
+    return S.let(names, lambda known: F.filter(spans, lambda s: ~(term_excluded(s["text"], known) | body(s))))
 
 
 def occurrences(text: Column | str, surface: Column) -> Column:
@@ -71,12 +72,20 @@ def manual(text: Column | str, wanted: Column, first_word_key: bool = False) ->
 
 def expand(text: Column | str, spans: Column, names: Column) -> Column:
     """Model spans and every further verbatim occurrence of a confident person, company or facility."""
-    good = F.filter(spans, lambda s: s["label"].isin(*_ENTITY_LABELS) & (s["confidence"] >= 0.82) & (F.length(_strip(s["text"])) >= 4) & ~term_excluded(s["text"], names))
-    anchor = F.transform(good, lambda s, i: F.struct((-s["confidence"]).alias("c"), i.alias("i"), s["label"].alias("label"), _strip(s["text"]).alias("text")))
-    best = F.filter(anchor, lambda a: ~F.exists(anchor, lambda b: (F.lower(b["text"]) == F.lower(a["text"])) & (F.struct(b["c"], b["i"]) < F.struct(a["c"], a["i"]))))
-    more = F.flatten(F.transform(best, lambda a: F.transform(occurrences(text, a["text"]), lambda h: S.span(h, a["label"], "ner", F.round(-a["c"] * 0.95, 4)))))
-    fresh = F.filter(more, lambda m: ~F.exists(spans, lambda s: (s["start"] == m["start"]) & (s["end"] == m["end"])))
-    return F.concat(spans, fresh)
+
+    def anchors(own: Column, known: Column) -> Column:
+        good = F.filter(own, lambda s: s["label"].isin(*_ENTITY_LABELS) & (s["confidence"] >= 0.82) & (F.length(_strip(s["text"])) >= 4) & ~term_excluded(s["text"], known))
+        return F.transform(good, lambda s, i: F.struct((-s["confidence"]).alias("c"), i.alias("i"), s["label"].alias("label"), _strip(s["text"]).alias("text")))
+
+    def best(anchor: Column) -> Column:
+        return F.filter(anchor, lambda a: ~F.exists(anchor, lambda b: (F.lower(b["text"]) == F.lower(a["text"])) & (F.struct(b["c"], b["i"]) < F.struct(a["c"], a["i"]))))
+
+    def grown(own: Column) -> Column:
+        chosen = S.let(S.let(names, lambda known: anchors(own, known)), best)
+        more = F.flatten(F.transform(chosen, lambda a: F.transform(occurrences(text, a["text"]), lambda h: S.span(h, a["label"], "ner", F.round(-a["c"] * 0.95, 4)))))
+        return F.concat(own, F.filter(more, lambda m: ~F.exists(own, lambda s: (s["start"] == m["start"]) & (s["end"] == m["end"]))))
+
+    return S.let(spans, grown)
 
 
 # -- grouping of names (off by default)
@@ -140,13 +149,20 @@ def numbered(spans: Column) -> Column:
     """``array<struct<start,end,text,placeholder>>`` in reading order, numbered per label by first occurrence."""
     ordered = F.transform(S.by_start(spans), lambda s: s.withField("canonical_id", F.coalesce(s["canonical_id"], F.concat(s["label"], F.lit("::"), s["text"]))))
 
-    def placeholder(s: Column) -> Column:
-        first = F.get(F.filter(ordered, lambda o: o["canonical_id"] == s["canonical_id"]), F.lit(0))["label"]
-        heads = F.filter(ordered, lambda o: F.get(F.filter(ordered, lambda q: q["canonical_id"] == o["canonical_id"]), F.lit(0))["label"] == first)
-        number = F.array_position(F.array_distinct(F.transform(heads, lambda o: o["canonical_id"])), s["canonical_id"])
-        return F.concat(F.lit("{"), first, F.lit("_"), number.cast("string"), F.lit("}"))
+    def heads(own: Column) -> Column:
+        """The first span of each id, with its label."""
+        ids = F.transform(own, lambda s: s["canonical_id"])
+        return S.let(ids, lambda all_ids: F.filter(F.transform(own, lambda s, i: F.struct(s["canonical_id"].alias("id"), s["label"].alias("label"), (F.array_position(all_ids, s["canonical_id"]) == i + 1).alias("first"))), lambda h: h["first"]))
 
-    return F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), placeholder(s).alias("placeholder")))
+    def names(first: Column) -> Column:
+        number = lambda h, i: F.size(F.filter(F.slice(first, F.lit(1), i + 1), lambda x: x["label"] == h["label"]))
+        return F.map_from_entries(F.transform(first, lambda h, i: F.struct(h["id"], F.concat(F.lit("{"), h["label"], F.lit("_"), number(h, i).cast("string"), F.lit("}")))))
+
+    def marked(own: Column) -> Column:
+        known = S.let(heads(own), names)
+        return S.let(known, lambda k: F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.try_element_at(k, s["canonical_id"]).alias("placeholder"))))
+
+    return S.let(ordered, marked)
 
 
 def substituted(text: Column | str, marks: Column) -> Column:
@@ -158,22 +174,25 @@ def substituted(text: Column | str, marks: Column) -> Column:
 
 def mapping(marks: Column) -> Column:
     """Placeholder to its longest surface; the first of equally long ones."""
-    names = F.array_distinct(F.transform(marks, lambda m: m["placeholder"]))
 
-    def longest(name: Column) -> Column:
-        own = F.filter(marks, lambda m: m["placeholder"] == name)
-        return F.array_max(F.transform(own, lambda m: F.struct(F.length(m["text"]).alias("n"), (-m["start"]).alias("k"), m["text"].alias("t"))))["t"]
+    def kept(own: Column) -> Column:
+        def longest(name: Column) -> Column:
+            mine = F.filter(own, lambda m: m["placeholder"] == name)
+            return F.array_max(F.transform(mine, lambda m: F.struct(F.length(m["text"]).alias("n"), (-m["start"]).alias("k"), m["text"].alias("t"))))["t"]
+
+        names = F.array_distinct(F.transform(own, lambda m: m["placeholder"]))
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, longest(n))))
 
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, longest(n))))
+    return S.let(marks, kept)
 
 
 def unmask(masked: Column | str, known: Column) -> Column:
     """Known placeholders replaced in one pass; unknown ones and everything else stay."""
     masked = S.col(masked)
     token = r"\{[^{}\n]+_\d+\}"
-    found = F.regexp_extract_all(masked, F.lit(token), F.lit(0))
-    gaps = F.split(masked, token, -1)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(known, F.coalesce(F.get(found, i), F.lit(""))), F.get(found, i), F.lit(""))))
+    pairs = F.arrays_zip(F.split(masked, token, -1).alias("gap"), F.regexp_extract_all(masked, F.lit(token), F.lit(0)).alias("token"))
+    name = lambda p: F.coalesce(p["token"], F.lit(""))
+    parts = S.let(known, lambda k: F.transform(pairs, lambda p: F.concat(p["gap"], F.coalesce(F.try_element_at(k, name(p)), name(p)))))
     return F.when(known.isNull() | (F.size(known) == 0), masked).otherwise(F.array_join(parts, ""))
 
 

@@ -25,20 +25,25 @@ _LAW_TAIL = r"[\wçğışöşüÇĞİÖŞÜ'’]*"
 def token_windows(text: Column | str, size: int = 384, overlap: int = 64) -> Column:
     """Windows over blank-separated tokens, each with the core it owns; the cores tile the text."""
     text = S.col(text)
-    words = S.matches(text, S.java(r"\S+"))
-    n = F.size(words)
-    step = size - overlap
-    firsts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (i == 0) | (i + overlap < n))
-    place = lambda i, end: F.coalesce(F.get(words, i)["end" if end else "start"], F.length(text))
+    step, half = size - overlap, overlap // 2
+
+    def tiled(words: Column) -> Column:
+        n = F.size(words)
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (i == 0) | (i + overlap < n))
+        place = lambda i, side: F.coalesce(F.get(words, i)[side], F.length(text))
+
+        def window(i: Column) -> Column:
+            last = i + size >= n
+            return F.struct(
+                F.when(i == 0, 0).otherwise(place(i, "start")).alias("win_start"),
+                F.when(last, F.length(text)).otherwise(place(i + size - 1, "end")).alias("win_end"),
+                F.when(i == 0, 0).otherwise(place(i + half, "start")).alias("core_start"),
+                F.when(last, F.length(text)).otherwise(place(i + step + half, "start")).alias("core_end"),
+            )
 
-    def window(i: Column) -> Column:
-        last = i + size >= n
-        half = overlap // 2
-        begin = F.when(i == 0, 0).otherwise(place(i + half, False))
-        end = F.when(last, F.length(text)).otherwise(place(i + step + half, False))
-        return F.struct(F.when(i == 0, 0).otherwise(place(i, False)).alias("win_start"), F.when(last, F.length(text)).otherwise(place(i + size - 1, True)).alias("win_end"), begin.alias("core_start"), end.alias("core_end"))
+        return F.transform(firsts, window)
 
-    return F.transform(firsts, window)
+    return S.let(S.matches(text, S.java(r"\S+")), tiled)
 
 
 def char_windows(text: Column | str, size: int = 900, overlap: int = 180) -> Column:
@@ -126,7 +131,6 @@ def filtered(text: Column | str, raw: Column) -> Column:
     label = F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])
     floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
     cut = lambda a, b: F.substring(text, a + 1, b - a)
-    zones = citation_zones(text)
 
     def entity(a: Column, b: Column, e: Column, trimmed: Column | None = None) -> Column:
         return F.struct(a.alias("start"), b.alias("end"), e["label"].alias("label"), e["score"].alias("score"), (F.lit(False) if trimmed is None else trimmed).alias("trimmed"))
@@ -158,7 +162,7 @@ def filtered(text: Column | str, raw: Column) -> Column:
     in_span = S.java(rf"\b{W.LAW_WORDS}{_LAW_TAIL}", True)
     follows = S.java(rf"^{W.LAW_WORDS}{_LAW_TAIL}\b", True)
 
-    def stays(e: Column) -> Column:
+    def stays(e: Column, zones: Column) -> Column:
         s = cut(e["start"], e["end"])
         after = F.regexp_replace(F.substring(text, e["end"] + 1, F.lit(40)), S.java(r"^\s+"), "")
         legal = s.rlike(in_span)
@@ -168,7 +172,7 @@ def filtered(text: Column | str, raw: Column) -> Column:
         short = e["label"].isin("Location", "Company") & (F.length(F.trim(s)) <= 3)
         return (F.length(F.trim(s)) > 1) & ~blocked(s) & ~legal & ~number & ~short & (e["score"] >= F.coalesce(floor[e["label"]], F.lit(FLOOR)))
 
-    step = F.filter(step, stays)
+    step = S.let(citation_zones(text), lambda zones: F.filter(step, lambda e: stays(e, zones)))
     return F.transform(step, lambda e: S.span(F.struct(e["start"].alias("start"), e["end"].alias("end"), cut(e["start"], e["end"]).alias("text")), e["label"], "ner", F.round(e["score"], 4)))
 
 
