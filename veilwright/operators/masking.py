@@ -217,24 +217,23 @@ def mask(df: DataFrame, text: str = "text", settings: Settings | None = None, ra
     if s.mode not in ("full", "regex", "ner"):
         raise ValueError(f"unknown mode {s.mode}")
     t = F.col(text)
-    out = df.withColumn("_names", aliases(t))
     names = F.col("_names")
+    found = {"_names": aliases(t)}
     if s.mode != "ner":
-        out = out.withColumn("_regex", detect.detect(t, PATTERNS))
+        found["_regex"] = detect.detect(t, PATTERNS)
     if s.mode != "regex":
-        model = F.col(raw) if raw else ner.dictionary_model(t, s.entries)
-        out = out.withColumn("_model", not_excluded(ner.filtered(t, model), names))
-        out = out.withColumn("_model", F.when(F.size("_model") > 0, expand(t, F.col("_model"), names)).otherwise(F.col("_model")))
+        found["_model"] = ner.filtered(t, F.col(raw) if raw else ner.dictionary_model(t, s.entries))
     if s.mode == "full":
-        out = out.withColumn("_gaz", not_excluded(gazetteer.detect(t), names))
-        auto = detect.merge(F.col("_regex"), F.col("_model"), F.col("_gaz"))
+        found["_gaz"] = gazetteer.detect(t)
+    out = df.withColumns(found)  # few wide steps: every step analyses the plan again
+    grown = S.let(not_excluded(F.col("_model"), names), lambda own: F.when(F.size(own) > 0, expand(t, own, names)).otherwise(own))
+    if s.mode == "full":
+        auto = detect.merge(F.col("_regex"), grown, not_excluded(F.col("_gaz"), names))
     else:
-        auto = detect.single(F.col("_regex" if s.mode == "regex" else "_model"))
-    out = out.withColumn("spans", auto)
+        auto = detect.single(F.col("_regex") if s.mode == "regex" else grown)
     if s.manual:
-        out = out.withColumn("spans", detect.merge_manual(F.col("spans"), manual(t, F.col(s.manual), s.first_word_key)))
-    if s.fuzzy:
-        out = out.withColumn("spans", fuzzy_groups(F.col("spans")))
+        auto = detect.merge_manual(auto, manual(t, F.col(s.manual), s.first_word_key))
+    out = out.withColumn("spans", fuzzy_groups(auto) if s.fuzzy else auto)
     out = out.withColumn("_marks", numbered(apply_policy(F.col("spans"), s.disabled)))
-    out = out.withColumn("masked_text", F.when(t.isNotNull(), substituted(t, F.col("_marks")))).withColumn("mapping", mapping(F.col("_marks")))
+    out = out.withColumns({"masked_text": F.when(t.isNotNull(), substituted(t, F.col("_marks"))), "mapping": mapping(F.col("_marks"))})
     return out.drop("_names", "_regex", "_model", "_gaz", "_marks")

@@ -13,7 +13,7 @@ from veilwright.functions import spans as S
 from veilwright.functions.registry import PATTERNS, Pattern
 from veilwright.functions.validators import VALIDATORS
 from veilwright.operators import detect, evaluate, gazetteer, masking, ner, policy
-from veilwright.runtime import table
+from veilwright.runtime import cut, table
 
 KEYS = ["src_table", "record_id"]
 #: Surfaces of the dictionary that stands in for a model in the registered queries.
@@ -149,7 +149,7 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mode in ("regex", "ner", "full"):
         out = _masked(spark, sf_dir, mode=mode)
         parts.append(out.select(F.lit(mode).alias("mode"), F.concat_ws(":", *KEYS).alias("doc_id"), F.explode("spans").alias("s")).select("mode", "doc_id", "s.start", "s.end", "s.label", "s.source", "s.confidence"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]), "ablation")
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
