@@ -13,7 +13,7 @@ from veilwright.functions import spans as S
 from veilwright.functions.registry import PATTERNS, Pattern
 from veilwright.functions.validators import VALIDATORS
 from veilwright.operators import detect, evaluate, gazetteer, masking, ner, policy
-from veilwright.runtime import cut, table
+from veilwright.runtime import cut, spread, table
 
 KEYS = ["src_table", "record_id"]
 #: Surfaces of the dictionary that stands in for a model in the registered queries.
@@ -24,7 +24,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request's, upload's and annotated document's whole text, once."""
     calls = table(spark, sf_dir, "mask_calls").select(F.lit("mask_calls").alias("src_table"), F.col("call_id").cast("string").alias("record_id"), F.coalesce("text", "original_text").alias("text"), "manual_spans")
     gold = table(spark, sf_dir, "gold_docs").select(F.lit("gold_docs").alias("src_table"), F.col("doc_id").alias("record_id"), "text", F.lit(None).cast("array<struct<text:string,label:string>>").alias("manual_spans"))
-    return calls.unionByName(gold).where("text is not null").dropDuplicates(KEYS)
+    return spread(calls.unionByName(gold).where("text is not null"), *KEYS).dropDuplicates(KEYS)
 
 
 _TEXTS = """WITH texts AS (

@@ -38,6 +38,16 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many partitions as shuffles have or cores there are, whatever their size in bytes.
+
+    For steps that are heavy on the CPU: adaptive execution would merge small partitions and leave cores idle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path once nothing reads it any more."""
     jvm = spark._jvm
