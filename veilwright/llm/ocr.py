@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwright.runtime import cut
+from veilwright.runtime import cut, spread
 
 #: What a character may be read as.
 CONFUSIONS = "a>@ l>1 i>1 e>c n>ri k>lc t>† m>rn ı>l i>l d>cl u>ii y>v o>0 z>2 g>9 h>lı h>li ş>$ s>5 b>8 r>r·"
@@ -169,13 +169,14 @@ def page_lines(df: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
     once = df.select(F.col("file_id").cast("long").alias("file_id"), F.transform("pages", lambda p: F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text"), p["extract_method"].alias("extract_method"))).alias("pages"))
-    return once.where("file_id is not null and pages is not null").dropDuplicates(["file_id"]).mapInPandas(run, LINE)
+    once = once.where("file_id is not null and pages is not null")
+    return spread(once, "file_id").dropDuplicates(["file_id"]).mapInPandas(run, LINE)
 
 
 def tokens(lines: DataFrame) -> DataFrame:
     """Words of the text lines; a word cut at a line's end comes once, joined, with its hyphenated form beside it."""
     page = Window.partitionBy("file_id", "page_number").orderBy("line_no")
-    near = lines.where("kind = 'text'").withColumn("next_no", F.lead("line_no").over(page)).withColumn("next_text", F.lead("text").over(page)).withColumn("before_no", F.lag("line_no").over(page)).withColumn("before_text", F.lag("text").over(page))
+    near = spread(lines.where("kind = 'text'"), "file_id", "page_number").withColumn("next_no", F.lead("line_no").over(page)).withColumn("next_text", F.lead("text").over(page)).withColumn("before_no", F.lag("line_no").over(page)).withColumn("before_text", F.lag("text").over(page))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
