@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm import lookalike, pii
-from veilwright.runtime import cut
+from veilwright.runtime import cut, spread
 
 #: Titles and forms of address before a name.
 TITLES = set("dr prof doc av sn sayin bay bayan uzm op yrd ogr gor muh mim mr mrs ms miss herr frau ing".split())
@@ -387,7 +387,7 @@ def link(clusters: DataFrame, ratio: float = 0.85, **options) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINK.split(", ")])
 
-    found = pairs.mapInPandas(compare, LINK)
+    found = spread(pairs, "x").mapInPandas(compare, LINK)
     found = found.withColumn("rivals", F.count("*").over(Window.partitionBy("weak")))
     return found.where("exact or rivals = 1").select("weak", "strong")
 
@@ -412,12 +412,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 def entities(spans: DataFrame, min_suffix: int = 5, common: int = 50, ratio: float = 0.85) -> DataFrame:
     """``(label, text, entity_id)`` for every distinct spelling of a person or company."""
     names = spans.where("label in ('Person', 'Company') and text is not null and trim(text) != ''").select("label", "text").groupBy("label", "text").agg(F.count("*").alias("rows"))
-    names = cut(names, "spellings")
+    names = cut(spread(names, "text"), "spellings")
     parsed = cut(parse(names, lookalike.learn(names)), "parsed-names")
     nodes = parsed.groupBy("label", "core", "part", "part2", "legal").agg(F.countDistinct("form").alias("n"))
     nicks = parsed.where("nick is not null").groupBy(F.col("nick").alias("part")).agg(F.array_sort(F.collect_set("part")).alias("formal"))
     nodes = nodes.join(nicks, "part", "left")
-    resolved = nodes.repartition("label", "core").sortWithinPartitions("label", "core").mapInPandas(_resolve_cores, NODE)
+    resolved = spread(nodes, "label", "core").sortWithinPartitions("label", "core").mapInPandas(_resolve_cores, NODE)
     cluster = F.concat_ws("", "label", "core", "entity")
     resolved = cut(resolved.withColumn("cluster", cluster), "resolved-names")
     clusters = resolved.groupBy("cluster", "label", "core", "entity").agg(F.count("*").alias("forms"), F.sum("forms").alias("weight"))
