@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.functions import spans as S
@@ -18,9 +18,21 @@ def detect_one(text: Column | str, p: Pattern) -> Column:
     return found if p.guard is None else F.when(S.col(text).rlike(S.java(p.guard, p.ignore_case)), found).otherwise(S.no_spans())
 
 
+_built: dict[tuple, Column] = {}
+
+
 def detect_all(text: Column | str, patterns: list[Pattern] = PATTERNS) -> Column:
-    """Spans of all patterns in registry order, overlaps not resolved."""
-    return F.concat(*[detect_one(text, p) for p in patterns])
+    """Spans of all patterns in registry order, overlaps not resolved.
+
+    Building the expression takes seconds, so it is kept per application and column name.
+    """
+    key = (SparkSession.active().sparkContext.applicationId, text, tuple(patterns)) if isinstance(text, str) else None
+    if key not in _built or key is None:
+        built = F.concat(*[detect_one(text, p) for p in patterns])
+        if key is None:
+            return built
+        _built[key] = built
+    return _built[key]
 
 
 def without_overlaps(spans: Column) -> Column:

@@ -220,7 +220,7 @@ def mask(df: DataFrame, text: str = "text", settings: Settings | None = None, ra
     names = F.col("_names")
     found = {"_names": aliases(t)}
     if s.mode != "ner":
-        found["_regex"] = detect.detect(t, PATTERNS)
+        found["_regex"] = detect.detect(text, PATTERNS)
     if s.mode != "regex":
         found["_model"] = ner.filtered(t, F.col(raw) if raw else ner.dictionary_model(t, s.entries))
     if s.mode == "full":
