@@ -50,6 +50,24 @@ def test_confusions(word, seen, n):
     assert ocr.turns_into(word, seen) == n
 
 
+@pytest.mark.parametrize("word,seen,n", [("2024", "2o24", 1), ("2022", "z022", 1), ("1.500", "l.5oo", 3), ("bul", "6ul", None)])
+def test_digit_confusions(word, seen, n):
+    assert ocr.turns_into(word, seen) == n
+
+
+@pytest.mark.parametrize("raw,want", [("(2O24).", "(2024)."), ("Z022,", "2022,"), ("202l", "2021"), ("ZOl9", "2019"), ("1.5OO,OO", "1.500,00"), ("il9ili", "il9ili"), ("12B", "12B"), ("5/b", "5/b"), ("5l", "5l"), ("Tut@nağı;", "Tutanağı;"), ("fiya†ın", "fiyatın"), ("DE$EN", "DEŞEN"), ("ar·şiv", "arşiv"), ("evet", "evet")])
+def test_turned_back(raw, want):
+    assert ocr._turned_back(raw) == want
+
+
+def test_misread_numbers(spark):
+    """By the frequent number where there is one, else character by character; a frequent word comes before both."""
+    plain = [(1, "Madde 4816 gibi 2024", "native", None)]
+    noisy = [(1, "Sayı 4b16, 9ibi Z024 ve 2O3l\nBu Tut@nağı 2O-\n27 eder", "ocr", 80.0)]
+    r = ocr.Repair(spark.createDataFrame([*((i, "x", plain) for i in range(10, 40)), (1, "x", noisy)], DOC))
+    assert r.pages().where("file_id = 1").first()["text"] == "Sayı 4816, gibi 2024 ve 2031 Bu Tutanağı 2027 eder"
+
+
 @pytest.mark.parametrize("line,n", [("- 3 -", 3), ("Sayfa 2/5", 2), ("[l]", 1), ("s. 1O", 10), ("iv", 4), ("3 / 8", 3), ("Sayfa l", 1), ("p. 7", 7), ("Adet 12 koli", None), ("6.123,00", None), ("Rev 2023", None), ("", None)])
 def test_page_numbers(line, n):
     got = ocr.page_number_of(line) if line else None

@@ -9,6 +9,9 @@
    ``rn`` for ``m`` shifts it by a constant. Rare words are joined in SQL with frequent ones whose hash differs by one
    or two known confusions; a candidate counts if the confusions really turn one word into the other and it is at
    least ``ratio`` times as frequent. Corrections are ranked by the number of confusions, then by frequency.
+   Numbers with letters in them are joined with frequent numbers by what a digit may be read as.
+4. *Without a frequent form.* A misread number or a word with a stray sign that the join leaves is turned back
+   character by character; labels such as ``12b`` and words with more letters than digits stay as they were read.
 
 Defined results: only ``ocr`` pages are repaired, all pages give counts; null pages and texts give nothing; blank
 pages give an empty text; a file that comes twice counts once; extra columns are ignored.
@@ -21,7 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.runtime import cut, spread
@@ -45,6 +48,9 @@ def lower(text: str) -> str:
     return text.replace("İ", "i").replace("I", "ı").lower()
 
 
+_DIGIT_PAIRS = sorted({(d, lower(c)) for c, d in DIGITS.items()})
+
+
 def skeleton(text: str) -> str:
     """What is left of a line when confusable readings fall together; digits and blanks do not count."""
     s = lower(text).replace("·", "").replace("†", "t").replace("@", "a").replace("$", "ş")
@@ -230,6 +236,7 @@ def _anagram(word: Column) -> Column:
 
 def turns_into(word: str, seen: str, most: int = 3) -> int | None:
     """Number of confusions that turn ``word`` into ``seen``; None if they cannot."""
+    pairs = _PAIRS if any(c.isalpha() for c in word) else _DIGIT_PAIRS
     best: dict[tuple[int, int], int] = {(0, 0): 0}
     for i in range(len(word) + 1):
         for j in range(len(seen) + 1):
@@ -238,24 +245,34 @@ def turns_into(word: str, seen: str, most: int = 3) -> int | None:
                 continue
             if i < len(word) and j < len(seen) and word[i] == seen[j]:
                 best[i + 1, j + 1] = min(n, best.get((i + 1, j + 1), n))
-            for a, b in _PAIRS:
+            for a, b in pairs:
                 if word.startswith(a, i) and seen.startswith(b, j):
                     at = (i + len(a), j + len(b))
                     best[at] = min(n + 1, best.get(at, n + 1))
     return best.get((len(word), len(seen)))
 
 
+def _shifts(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row with the hash shifts of one or two confusions."""
+    single = spark.createDataFrame(pairs, "a string, b string").select((_anagram(F.col("b")) - _anagram(F.col("a"))).alias("d")).distinct()
+    double = single.alias("x").join(single.alias("y"), F.col("x.d") <= F.col("y.d")).select((F.col("x.d") + F.col("y.d")).alias("d"))
+    return single.union(double).distinct().agg(F.collect_list("d").alias("shifts"))
+
+
 def corrections(vocab: DataFrame, ratio: int = 10) -> DataFrame:
     """Ranked corrections ``(key, correct, confusions)`` of misread words, one per word."""
     spark = vocab.sparkSession
-    pairs = spark.createDataFrame(_PAIRS, "a string, b string").select((_anagram(F.col("b")) - _anagram(F.col("a"))).alias("d"))
-    single = pairs.distinct()
-    double = single.alias("x").join(single.alias("y"), F.col("x.d") <= F.col("y.d")).select((F.col("x.d") + F.col("y.d")).alias("d"))
-    shifts = single.union(double).distinct().agg(F.collect_list("d").alias("shifts"))  # one row, about 250 numbers
     hashed = cut(vocab.where("length(key) > 1").withColumn("h", _anagram(F.col("key"))), "anagrams")
-    probes = hashed.join(F.broadcast(shifts)).select("key", "n", F.explode("shifts").alias("d"), "h").select("key", "n", (F.col("h") - F.col("d")).alias("h"))
-    frequent = hashed.select(F.col("key").alias("correct"), F.col("n").alias("m"), "h").where(F.col("m") >= ratio)
-    met = probes.join(frequent, "h").where((F.col("m") >= ratio * F.col("n")) & (F.col("correct") != F.col("key")))
+    number = F.col("key").rlike(_NUMBER) & ~F.col("key").rlike(_LABEL)
+
+    def probed(words: DataFrame, pairs: list[tuple[str, str]], digits: bool) -> DataFrame:
+        """Words with every hash that their right form may have; ``digits`` tells whether that is a number."""
+        out = words.join(F.broadcast(_shifts(spark, pairs))).select("key", "n", F.explode("shifts").alias("d"), "h")
+        return out.select("key", "n", (F.col("h") - F.col("d")).alias("h"), F.lit(digits).alias("digits"))
+
+    probes = probed(hashed, _PAIRS, False).unionByName(probed(hashed.where(number), _DIGIT_PAIRS, True))  # about 250 and 50 shifts
+    frequent = hashed.where(~number).select(F.col("key").alias("correct"), F.col("n").alias("m"), "h", F.col("key").rlike(r"^[\d.,/-]+$").alias("digits")).where(F.col("m") >= ratio)
+    met = probes.join(frequent, ["h", "digits"]).where((F.col("m") >= ratio * F.col("n")) & (F.col("correct") != F.col("key")))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -268,8 +285,11 @@ def corrections(vocab: DataFrame, ratio: int = 10) -> DataFrame:
     return best.select("key", F.col("b.correct").alias("correct"), F.col("b.confusions").alias("confusions"))
 
 
+_STRAY = re.compile(r"[^\W\d_]+(?:[@†$][^\W\d_]+|[^\W\d_]*·[^\W\d_]*)[^\W\d_]*$")  # _INNER for re
 _INNER = r"^\p{L}+(?:[@†$]\p{L}+|\p{L}*·\p{L}*)\p{L}*$"
 _NUMBER = r"^(?=.*\d)(?=.*[oılisbz])[\doılisbz]+(?:[.,/-][\doılisbz]+)*$"
+#: Forms of _NUMBER with a part that letters may belong to: 12b, 5l, b12, 5/b.
+_LABEL = r"(?:^|[.,/-])(?:\d{1,2}[bls]|[bis]\d{1,2}|[bisz]+)(?:$|[.,/-])"
 
 
 class Repair:
@@ -339,6 +359,21 @@ def _recased(raw: str, word: str) -> str:
     return lead + word + tail
 
 
+def _turned_back(raw: str) -> str:
+    """A misread number or a word with a stray sign, character by character; anything else as it is."""
+    core = raw.strip(_EDGE)
+    word = lower(core)
+    if re.match(_NUMBER, word):
+        digits = sum(c.isdigit() for c in core)
+        if re.search(_LABEL, word) or 2 * digits < sum(c.isalnum() for c in core) and re.search("[ısbziİ]", core):
+            return raw
+        return raw.replace(core, "".join(DIGITS.get(c, c) for c in core))
+    if _STRAY.match(word):
+        letters = str.maketrans({"@": "A", "†": "T", "$": "Ş", "·": ""} if core.isupper() else {"@": "a", "†": "t", "$": "ş", "·": ""})
+        return raw.replace(core, core.translate(letters))
+    return raw
+
+
 def _paragraphs(words, blanks) -> str:
     if words is None:
         return ""
@@ -351,8 +386,10 @@ def _paragraphs(words, blanks) -> str:
             if out[-1]:
                 out.append([])
         raw = w["raw"]
-        if w["cut"] is not None and not pd.isna(w["cut"]):
-            out[-1].append(_recased(raw, w["correct"] or w["form"]))
+        if w["correct"]:
+            out[-1].append(_recased(raw, w["correct"]))
+        elif w["cut"] is not None and not pd.isna(w["cut"]):
+            out[-1].append(_turned_back(_recased(raw, w["form"])))
         else:
-            out[-1].append(_recased(raw, w["correct"]) if w["correct"] else raw)
+            out[-1].append(_turned_back(raw))
     return "\n\n".join(" ".join(p) for p in out if p)
