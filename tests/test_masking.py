@@ -192,6 +192,16 @@ def test_fuzzy(spark):
     assert r["masked_text"] == "{Person_1} ve {Person_1}"
 
 
+def test_fuzzy_chain(spark):
+    """Names that overlap only with their neighbours are one entity, however long the chain and whatever the order."""
+    names = [f"A{i}x A{i + 1}x" for i in range(12)]
+    for order in (names, names[::-1], names[::2] + names[1::2]):
+        spans = [(0, 1, "Person", "ner", 0.9, t, None) for t in [*order, "Başka Biri", "!", order[0]]] + [(0, 1, "Company", "ner", 0.9, names[0], None), (0, 1, "Person", "manual", 1.0, names[0], "m")]
+        df = spark.createDataFrame([(spans,), ([],)], f"s {S.SPANS}")
+        ids = [[x["canonical_id"] for x in r["g"]] for r in df.select(masking.fuzzy_groups(F.col("s")).alias("g")).collect()]
+        assert ids[0] == ["Person::a11x a12x"] * 12 + ["Person::başka biri", "Person::!", "Person::a11x a12x", "Company::a0x a1x", "m"] and ids[1] == []
+
+
 @pytest.mark.parametrize("masked,known,want", [("{A_1} {A_10} {B_1}", {"{A_1}": "x", "{A_10}": "y$1"}, "x y$1 {B_1}"), ("{A_1}", {}, "{A_1}"), ("", {"{A_1}": "x"}, "")])
 def test_unmask(spark, masked, known, want):
     df = spark.createDataFrame([(masked, known)], "m string, k map<string,string>")

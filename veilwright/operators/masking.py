@@ -106,22 +106,44 @@ def _related(a: Column, b: Column, threshold: float) -> Column:
     return F.when(both_single, F.get(a, F.lit(0)) == F.get(b, F.lit(0))).otherwise(overlap_coefficient(a, b) >= threshold)
 
 
-def fuzzy_groups(spans: Column, threshold: float = 0.5, rounds: int = 4) -> Column:
-    """Spans of one label whose token sets overlap get the id of the longest text among them.
+_COMPONENTS = "array<struct<label:string,members:array<array<string>>,best:struct<n:int,id:string>>>"
 
-    The longest related text is handed on ``rounds`` times, which reaches every member of chains up to that length.
+
+def fuzzy_groups(spans: Column, threshold: float = 0.5) -> Column:
+    """Spans of one label whose token sets overlap, directly or through others, get the id of the longest text among them.
+
+    Names are added one by one to the components found so far; a name joins all those that it overlaps into one, so
+    chains of any length are one group. Names without a token stay alone.
     """
 
-    def best(s: Column, all_spans: Column) -> Column:
-        related = F.filter(all_spans, lambda o: (o["label"] == s["label"]) & (o["source"] != "manual") & _related(entity_tokens(o["text"]), entity_tokens(s["text"]), threshold))
-        ids = F.transform(related, lambda o: F.struct(F.length(o["canonical_id"]).alias("n"), o["canonical_id"].alias("id")))
-        return F.coalesce(F.array_max(ids)["id"], s["canonical_id"])
+    def eligible(s: Column) -> Column:
+        return s["label"].isin(*_ENTITY_LABELS) & (s["source"] != "manual")
+
+    def name(s: Column) -> Column:
+        best = F.struct(F.length(s["canonical_id"]).alias("n"), s["canonical_id"].alias("id"))
+        return F.struct(s["label"].alias("label"), entity_tokens(s["text"]).alias("tokens"), best.alias("best"))
+
+    def step(acc: Column, e: Column) -> Column:
+        touches = lambda c: (c["label"] == e["label"]) & F.exists(c["members"], lambda t: _related(t, e["tokens"], threshold))
+
+        def joined(hit: Column) -> Column:
+            members = F.array_append(F.flatten(F.transform(hit, lambda c: c["members"])), e["tokens"])
+            best = F.array_max(F.array_append(F.transform(hit, lambda c: c["best"]), e["best"]))
+            return F.struct(e["label"].alias("label"), members.alias("members"), best.alias("best"))
+
+        return F.array_append(F.filter(acc, lambda c: ~touches(c)), S.let(F.filter(acc, touches), joined))
+
+    def grouped(own: Column) -> Column:
+        names = F.array_distinct(F.filter(F.transform(F.filter(own, eligible), name), lambda e: F.size(e["tokens"]) > 0))
+        components = F.aggregate(names, F.array().cast(_COMPONENTS), step)
+
+        def group_id(s: Column, known: Column) -> Column:
+            mine = lambda t: F.filter(known, lambda c: (c["label"] == s["label"]) & F.array_contains(c["members"], t))
+            return F.coalesce(F.get(S.let(entity_tokens(s["text"]), mine), F.lit(0))["best"]["id"], s["canonical_id"])
 
-    def handed_on(current: Column) -> Column:
-        return F.transform(current, lambda s: F.when(s["label"].isin(*_ENTITY_LABELS) & (s["source"] != "manual"), s.withField("canonical_id", best(s, current))).otherwise(s))
+        return S.let(components, lambda known: F.transform(own, lambda s: F.when(eligible(s), s.withField("canonical_id", group_id(s, known))).otherwise(s)))
 
-    zero = S.with_canonical_ids(spans)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zero, lambda acc, _: handed_on(acc))
+    return S.let(S.with_canonical_ids(spans), grouped)
 
 
 def definers(text: Column | str, spans: Column, reach: int = 250) -> Column:
