@@ -53,6 +53,18 @@ def test_placeholders_keep_everything_else():
     assert out == "Kefil [PERSON_1], [ADDRESS_1] adresinde. [PERSON_1]: [ID_NUMBER_1], [PHONE_1]. [PERSON_1] ve [PERSON_2] ([EMAIL_1])."
 
 
+def test_surrogates_beyond_the_pools():
+    """More lone surnames, given names and one-letter addresses than the pools hold stay different and new."""
+    names = [f"Soyad{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    mails = [f"{chr(97 + i % 26)}@{'xy'[i // 26]}.com" for i in range(40)]
+    text = " ".join([*names, *mails, "kaya demir"])
+    at = [(text.index(t), t) for t in [*names, *mails]]
+    found = [pii.Found("EMAIL" if "@" in t else "PERSON", a, a + len(t)) for a, t in at]
+    out = pii.surrogates(text, b"k", found).split()
+    fresh = [pii.fold(w) for w in out[:-2]]
+    assert len(set(fresh)) == 100 and not {"kaya", "demir"} & set(fresh) and out[-2:] == ["kaya", "demir"]
+
+
 def test_surrogates():
     out = pii.surrogates(DOC, b"k")
     assert out == pii.surrogates(DOC, b"k") != pii.surrogates(DOC, b"other")

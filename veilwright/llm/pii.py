@@ -9,7 +9,7 @@ Replacement keeps all other characters. A placeholder carries the type and a num
 entity within a document. A surrogate is drawn by a keyed hash of the entity: a person gets given names of the same
 gender and a surname in the same script, letter case and order; numbers keep their format and valid check digits.
 Surrogates that collide within a document, with each other or with its text, are drawn again with the next counter,
-so different entities stay different and mentions of one entity stay together.
+and from the hundredth counter on they are longer than the pools' names, so different entities stay different and mentions of one entity stay together.
 
 Defined results: null gives no spans and stays null; empty and very long texts are processed whole; offsets are
 0-based code points, the end exclusive; a record that comes twice counts once; extra columns are ignored.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -268,14 +269,15 @@ def _cased(like: str, word: str) -> str:
 
 def _surrogate(kind: str, text: str, key: bytes, entity: str, n: int) -> str:
     rnd = _draw(key, entity, n)
+    more = n // 100  # the pools may be used up: names, local parts and house numbers get longer
     pick = lambda seq: seq[(next(rnd) << 8 | next(rnd)) % len(seq)]
     if kind == "PERSON":
         given, sur = _name_parts(text)
         words = re.split(r"([^\W\d_]+)", text)
-        new_sur = pick(SURNAMES.split())
+        new_sur = "-".join(pick(SURNAMES.split()) for _ in range(1 + more))
         new_given = {}
         for g in entity.partition(":")[2].split()[:-1] or [fold(x) for x in given]:
-            new_given[g] = pick((FEMALE if _GENDER.get(g) == "f" else MALE).split())
+            new_given[g] = "-".join(pick((FEMALE if _GENDER.get(g) == "f" else MALE).split()) for _ in range(1 + more))
         spare = iter([*new_given.values(), *(pick(MALE.split()) for _ in range(3))])
         out = []
         for w in words:
@@ -297,13 +299,14 @@ def _surrogate(kind: str, text: str, key: bytes, entity: str, n: int) -> str:
     if kind == "EMAIL":
         at = re.search(r"@| @ |\s?[(\[]\s?at\s?[)\]]\s?", text)
         local = "".join(chr(97 + next(rnd) % 26) if c.isalpha() else str(next(rnd) % 10) if c.isdigit() else c for c in text[: at.start()])
+        local += "".join(chr(97 + next(rnd) % 26) for _ in range(more))
         return (local.upper() if text[: at.start()].isupper() else local) + text[at.start() : at.end()] + re.sub(r"[^\W\d_]{2,}", "example", text[at.end() :], count=1)
     if kind == "ADDRESS":
         keep = re.compile(rf"^(?:{_MAH}|{_ROAD}|[Kk]öyü|KÖYÜ|[Nn][Oo]|Kat|KAT|Daire|DAİRE|D|K|Apt|Flat|Street|St|Avenue|Ave|Road|Lane|Drive|Way|Court|Place)\.?$")
         out = []
         for w in re.split(r"(\w+)", text):
             if w.isdigit():
-                out.append("".join(str(1 + next(rnd) % 9) for _ in w))
+                out.append("".join(str(1 + next(rnd) % 9) for _ in range(len(w) + more)))
             elif len(w) > 2 and w[0].isalpha() and not keep.match(w):
                 end = re.search(r"(?:straße|strasse|weg|platz|allee|gasse|ufer|ring|damm)$", w)
                 out.append(_cased(w, pick(TOWNS.split()) + (end.group() if end else "")))
@@ -323,23 +326,30 @@ def _surrogate(kind: str, text: str, key: bytes, entity: str, n: int) -> str:
     return "".join(out)
 
 
+_WORD = re.compile(r"\w+(?:-\w+)*")
+
+
 def surrogates(text: str, secret: bytes, found: list[Found] | None = None) -> str:
     """Text with each occurrence replaced by a keyed surrogate of its type and format."""
     found = detect(text) if found is None else found
     keys = _Entities(text, found).keys
-    counter: dict[str, int] = {}
-    owner: dict[str, str] = {}
-    present = {fold(text[f.start : f.end]) for f in found}
+    forms: dict[str, dict[tuple[str, str], None]] = {}
     for f, k in zip(found, keys):
-        for n in range(counter.get(k, 0), 1000):
-            made = fold(_surrogate(f.kind, text[f.start : f.end], secret, k, n))
-            if owner.get(made, k) == k and made not in present:
+        forms.setdefault(k, {})[f.kind, text[f.start : f.end]] = None
+    counter: dict[str, int] = {}
+    owned: set[str] = set()
+    whole = fold(text)
+    words = set(_WORD.findall(whole))
+    for k, seen in forms.items():
+        for n in itertools.count():
+            made = {(kind, fold(_surrogate(kind, t, secret, k, n))) for kind, t in seen}
+            if not any(m in owned or (words & {w for w in _WORD.findall(m) if len(w) > 1} if kind == "PERSON" else m in whole) for kind, m in made):
                 counter[k] = n
-                owner[made] = k
+                owned |= {m for _, m in made}
                 break
     out, at = [], 0
     for f, k in zip(found, keys):
-        out += [text[at : f.start], _surrogate(f.kind, text[f.start : f.end], secret, k, counter.get(k, 0))]
+        out += [text[at : f.start], _surrogate(f.kind, text[f.start : f.end], secret, k, counter[k])]
         at = f.end
     return "".join([*out, text[at:]])
 
