@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from veilwright.functions import spans as S
 from veilwright.functions import validators as V
 from veilwright.functions.registry import PATTERNS
 from veilwright.operators import detect, gazetteer, masking, ner
+from veilwright.plans import text_queries
 
 
 def one(spark, text, expr):
@@ -223,3 +225,12 @@ def test_presentation(spark):
     assert [(s["kind"], s["text"]) for s in seg] == [("plain", "a "), ("span", "b@c.de"), ("plain", " f")]
     assert one(spark, "x" * 150 + "ABC", P.context("text", F.lit(150), F.lit(153))) == "…" + "x" * 100 + "ABC"
     assert one(spark, "{A_1} {b} {C_d_2}", P.placeholders_in("text")) == ["{A_1}", "{C_d_2}"]
+
+
+def test_round_trip_query_keeps_all(spark, tmp_path):
+    """Texts in which an entity has several surfaces are rows too, with a flag."""
+    spark.createDataFrame([(1, "Yaz: a@x.com", None, None), (2, "A@x.com ve a@x.com", None, None)], "call_id long, text string, original_text string, manual_spans array<struct<text:string,label:string>>").write.parquet(f"{tmp_path}/mask_calls.parquet")
+    spark.createDataFrame([("d", "düz [metin]")], "doc_id string, text string").write.parquet(f"{tmp_path}/gold_docs.parquet")
+    got = {r["record_id"]: (r["restored_md5"], r["one_surface"]) for r in text_queries.QUERIES["U01_round_trip"](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {"1": (md5("Yaz: a@x.com"), True), "2": (md5("A@x.com ve A@x.com"), False), "d": (md5("düz [metin]"), True)}
