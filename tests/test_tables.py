@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwright.operators import audit, evaluate, orphans, policy
-from veilwright.operators.skew import hot_keys, join_unique
 from veilwright.sources import extract, store
 from veilwright.streaming import masking as streams
 
@@ -59,12 +58,34 @@ def test_empty_orphans(spark):
     assert orphans.replay(refs(spark, []), jobs, gone).orphans().count() == 0
 
 
-def test_salted_join(spark):
-    left = spark.range(60_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
-    right = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).union(spark.createDataFrame([(7, 14)], "k long, w long"))
-    assert hot_keys(left, "k") == [7]
-    got = join_unique(left, right, "k", "left", F.col("v"))
-    assert got.count() == 60_000 and got.where("k = 7 and w = 14").count() == 30_000 and got.where("w is null").count() == 15_000
+def test_compaction_and_snapshots(spark):
+    """The state after every batch is the same with and without compaction; a hot parent is split over parts."""
+    rng = random.Random(3)
+    whole = [(U(rng.choice([1, 1, 1, 2, 3, 4, 5])), T(rng.randint(1, 28)), f"r{i}") for i in range(400)]
+    jobs = spark.createDataFrame([(U(1), T(4)), (U(2), T(9)), (U(4), None), (U(5), T(20))], "j string, c timestamp")
+    gone = spark.createDataFrame([(U(1), T(12)), (U(3), T(15)), (U(5), T(22))], "j string, d timestamp")
+    parts = orphans.history(jobs, gone, "j", "c", "d")
+    one = orphans.replay(refs(spark, whole), *parts, batches=5)
+    two = orphans.replay(refs(spark, whole), *parts, batches=5, compact_after=2, salts=3, buckets=4)
+    made = {1: 4, 2: 9, 4: 0, 5: 20}
+    want = {r: "missing" if int(j[-1]) not in made and j != U(3) else "deleted" if j == U(3) else "later" for j, t, r in whole if int(j[-1]) not in made or made[int(j[-1])] > t.day}
+    assert kinds(one) == kinds(two) == want
+    snaps = lambda t: sorted(map(str, t.snapshots().collect()))
+    assert snaps(one) == snaps(two)
+    held = {r["batch"]: r["n"] for r in one.snapshots().groupBy("batch").agg(F.sum(F.when(F.col("kind") == "deleted", F.col("orphans"))).alias("n")).collect()}
+    assert held[2] > held[4]  # job 1 was deleted, which reopened its references, and restored
+    assert {(r["kind"], r["orphans"]) for r in one.snapshot().collect()} == {(r["kind"], r["orphans"]) for r in one.snapshots().where("batch = 4").collect()}
+
+
+def test_batches_do_not_rewrite_history(spark):
+    """What a batch writes does not grow with the batches before it."""
+    t = orphans.OrphanTracker(spark)
+    none_del = orphans.deletions(spark.createDataFrame([], "j string, d timestamp"), "j", "d")
+    for n in range(3):
+        jobs = spark.createDataFrame([(U(1000 + 100 * n + i), T(1)) for i in range(50)], "j string, c timestamp")
+        t.apply(refs(spark, [(U(1000 + 100 * n + i), T(2), f"{n}-{i}") for i in range(80)]), orphans.parents(jobs, "j", "c"), none_del)
+    per = lambda name: {r["batch"]: r["n"] for r in spark.table(name).groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert set(per(t.refs).values()) == {80} and set(per(t.index).values()) == {50} and len(kinds(t)) == 3 * 30
 
 
 CORR = "correction_id string, occurred_at timestamp, event_type string, detector_source string, entity_label string, confidence double, text_hash string"

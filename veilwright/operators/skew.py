@@ -1,30 +1,22 @@
-"""Equi-join against a side with unique keys that survives hot keys."""
+"""Splitting hot keys: rows of one key stand in several partitions, rows with unique keys are repeated for each.
+
+Every key is split alike, whatever its number of rows, so that plans do not change with the data and no job is
+needed to find the hot ones. The side with unique keys should be restricted to the keys that are asked for first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 8
+
+
+def salt(spread: Column, salts: int = SALTS) -> Column:
+    """Part of its key that a row belongs to."""
+    return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+
 
-def hot_keys(df: DataFrame, key: str, fraction: float = 0.02) -> list:
-    """Keys that hold more than ``fraction`` of the rows: at most ``1 / fraction`` of them, so safe to collect."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    per = counts.agg(F.sum("n").alias("t"), F.max("n").alias("m")).first()
-    if not per["t"] or per["m"] <= fraction * per["t"] or per["m"] < 10_000:
-        return []
-    return [r[0] for r in counts.where(F.col("n") > fraction * per["t"]).select(key).collect()]
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str, spread: Column, salts: int = 16, fraction: float = 0.02) -> DataFrame:
-    """``left`` join ``right`` on ``key``, where ``right`` has each key once.
-
-    Rows of a hot key are spread over ``salts`` partitions by ``spread`` and the one row of that key on the
-    right is repeated as often; every other row keeps a plain hash join. No row is dropped or sampled.
-    """
-    hot = hot_keys(left.select(key), key, fraction)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
-    copies = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+def copies(unique: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Each row of a side with unique keys once per part."""
+    return unique.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
