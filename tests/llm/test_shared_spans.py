@@ -1,8 +1,13 @@
 import random
 import string
 
+import pandas as pd
+
 import pytest
 
+import numpy as np
+
+from veilwright.llm import shared_spans as S
 from veilwright.llm.shared_spans import SpanIndex, merge_intervals, shared_fraction, shared_spans
 
 L = 60
@@ -53,7 +58,7 @@ def run(spark, texts, **kw):
     return {tuple(r) for r in shared_spans(df, length=L, gram=16, buckets=4, **kw).select("doc_id", "start_pos", "end_pos").collect()}
 
 
-@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"batches": 1}), (3, {"group_limit": 1}), (4, {"batches": 4, "fan_in": 2})])
+@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"batches": 1}), (3, {"group_limit": 1}), (4, {"batches": 4, "fan_in": 2}), (5, {"batches": 3, "group_limit": 1, "fan_in": 1})])
 def test_equals_brute_force(spark, seed, kw):
     texts = corpus(seed)
     assert run(spark, texts, **kw) == brute(texts)
@@ -62,7 +67,7 @@ def test_equals_brute_force(spark, seed, kw):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shared_spans(df, length=L, gram=16).count() == 0
-    assert SpanIndex(spark).coverage(df).count() == 0
+    assert SpanIndex(spark).coverage().count() == 0
 
 
 def test_touching_intervals_merge(spark):
@@ -75,3 +80,35 @@ def test_fraction(spark):
     df = spark.createDataFrame([(1, t), (2, t + "zzzzzzzzzz" * 10), (3, ""), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["shared_fraction"] for r in shared_fraction(df, shared_spans(df, length=L, gram=16)).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0}
+
+
+def test_blocks_elect_the_same_grams():
+    codes = S.codes_of("".join(random.Random(7).choice("ab cd") for _ in range(3000)) + "a" * 500)
+    one, two = S.contexts(codes, L, 16), S.contexts(codes, L, 16, block=37)
+    assert one[1] == two[1] and all(np.array_equal(a, b) for a, b in zip((one[0], *one[2:]), (two[0], *two[2:])))
+
+
+def test_colliding_grams_are_verified(spark):
+    """Contexts under one gram hash are compared on their text, in small and in large groups."""
+    r = random.Random(9)
+    word = lambda k: "".join(r.choice(string.ascii_lowercase) for _ in range(k))
+    rows = [(d, word(L)) for d in range(30)]
+    parts = pd.DataFrame([(7, bytes([d]), d, d, 0, 3, True, t) for d, t in rows] + [(7, b"z", 99, 99, 0, 3, True, rows[4][1])], columns=["m", "c", "lo", "hi", "n", "anchor", "large", "part"])
+    index = SpanIndex(spark, length=L, gram=16)
+    large = index._large(spark.createDataFrame(parts, S.PART)).select("c", "a", "b").collect()
+    small = S.shared_windows(parts, L)
+    assert sorted(map(tuple, large)) == sorted(zip(small["c"], small["a"], small["b"])) == [(bytes([4]), 0, L), (b"z", 0, L)]
+
+
+def test_a_batch_writes_no_history(spark):
+    texts = corpus(11)
+    index = SpanIndex(spark, length=L, gram=16, buckets=4, fan_in=9)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for i in range(3):
+        index.add(df.where(f"doc_id % 3 = {i}"), df)
+    per = {r["batch"]: r["n"] for r in index._read("places").groupBy("batch").count().withColumnRenamed("count", "n").collect()}
+    fresh = {i: sum(len(S.contexts(S.codes_of(t), L, 16)[0]) for d, t in texts.items() if d % 3 == i and len(t) >= L) for i in range(3)}
+    assert per == fresh
+    assert {tuple(r) for r in index.coverage().select("doc_id", "start_pos", "end_pos").collect()} == brute(texts)
+    index.compact()
+    assert index._read("classes").count() >= index._read("places").select("m", "c").distinct().count()

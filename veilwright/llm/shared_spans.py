@@ -6,16 +6,23 @@ window to the end of the last. A passage of at least ``length`` code points that
 same grams in both, so only contexts with an elected gram in common need to be compared. A record yields about two
 contexts per ``length - gram`` code points.
 
-Contexts are kept as ``(gram hash m, digest c, doc_id, x, n)`` in immutable runs, bucketed and sorted by ``m``;
-:meth:`SpanIndex.add` writes one run per batch, :meth:`SpanIndex.compact` merges the runs into one, by itself once
-there are more than ``fan_in``, and :meth:`SpanIndex.coverage` reads the compacted run bucket by bucket without
-another shuffle.
+The index has two tables of immutable sorted runs, one run per batch: *places* ``(gram hash m, digest c, doc_id, x, n)``
+of all contexts, and *classes* of equal contexts ``(m, c)`` with the smallest and largest record and one place. ``c`` is
+a cryptographic digest of the context's text. Rows of one gram are split over parts by record, and a class is one row
+however often it occurs, so a notice that stands everywhere is no hot key.
 
-* A context whose ``(m, c)`` occurs in two records is shared as a whole; ``m`` and ``c`` come from independent hashes.
-* Where an elected gram is shared but a context is not, one text of each differing context is fetched and its windows
-  are compared with those of the others, and the texts found equal are verified code point by code point.
-* Groups of more than ``group_limit`` differing contexts are compared window by window with a distributed
-  aggregation instead of inside one task, so that no task holds an unbounded group.
+:meth:`SpanIndex.add` writes a batch's run and merge-joins its grams with the earlier runs, bucket by bucket:
+
+* A class that becomes shared by the batch is shared as a whole: its places in the batch, and its places in the one
+  earlier record if it was not shared before, are matches.
+* Where a gram of the batch is shared but contexts differ, one text of each differing context is fetched, its windows
+  are compared with those of the others, and equal ones are verified code point by code point. Groups of more than
+  ``group_limit`` differing contexts are compared by an aggregation over digests of their windows' texts instead of
+  inside one task; both ways find the same windows.
+
+Matches are appended; earlier runs are read but never shuffled or rewritten by a batch. :meth:`SpanIndex.compact` merges
+the runs, by itself once there are more than ``fan_in``, and drops places of classes that are shared already, as no later
+batch can add to them. :meth:`SpanIndex.coverage` joins the matches of each record into maximal runs.
 
 Defined results: null and shorter texts have no runs; copies of a text are covered whole; passages repeated only
 inside one record do not count; a ``doc_id`` that comes twice counts as one record; extra columns are ignored.
@@ -23,18 +30,19 @@ inside one record do not count; a ``doc_id`` that comes twice counts as one reco
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilwright.operators.skew import SALTS, copies, salt
 from veilwright.runtime import cut, drop_path, empty, scratch
 
-CONTEXT = "m long, c long, doc_id long, x int, n int"
+CONTEXT = "m long, c binary, doc_id long, x int, n int"
 INTERVAL = "doc_id long, start_pos int, end_pos int"
 
 _U = np.uint64
@@ -80,40 +88,57 @@ class Prefix:
         return _mixed((self.sums[b] - self.sums[a]) * self.inv[a])
 
 
-def contexts(codes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """``(m, c, x, n)`` of each context: windows x .. x + n elect the gram with hash m."""
+BLOCK = 1 << 22
+
+
+def elected(codes: np.ndarray, length: int, gram: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the gram that each window elects, a block of windows at a time."""
+    places, hashes = [], []
+    windows, width = len(codes) - length + 1, length - gram + 1
+    for s in range(0, windows, block):
+        part = codes[s : min(windows, s + block) + length - 1]
+        first = Prefix(part, 0)
+        grams = len(part) - gram + 1
+        h = _mixed((first.sums[gram:] - first.sums[:grams]) * first.inv[:grams])
+        best = (h & ~_U(0xFFFFFFF)) | np.arange(grams, dtype=_U)  # places in a block need fewer than 28 bits
+        have = 1
+        while have * 2 <= width:
+            best = np.minimum(best[:-have], best[have:])
+            have *= 2
+        if have < width:
+            best = np.minimum(best[: grams - width + 1], best[width - have :])
+        at = (best & _U(0xFFFFFFF)).astype(np.int64)
+        places.append(at + s)
+        hashes.append(h[at])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def contexts(codes: np.ndarray, length: int, gram: int, block: int = BLOCK) -> tuple | None:
+    """``(m, c, x, n, anchor)`` of each context: windows x .. x + n elect the gram with hash m at ``anchor``."""
     if len(codes) < length:
         return None
-    first, second = Prefix(codes, 0), Prefix(codes, 1)
-    grams = len(codes) - gram + 1
-    h = (first.sums[gram:] - first.sums[:grams]) * first.inv[:grams]
-    h = _mixed(h)
-    key = (h & ~_U(0xFFFFFFF)) | np.arange(grams, dtype=_U)
-    width, have = length - gram + 1, 1
-    best = key
-    while have * 2 <= width:
-        best = np.minimum(best[:-have], best[have:])
-        have *= 2
-    if have < width:
-        best = np.minimum(best[: grams - width + 1], best[width - have :])
-    at = (best & _U(0xFFFFFFF)).astype(np.int64)
+    at, h = elected(codes, length, gram, block)
     x = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[x[1:], len(at)] - 1
-    return h[at[x]].view(np.int64), second.slices(x, last + length).view(np.int64), x, last - x, at[x]
+    raw = memoryview(np.ascontiguousarray(codes)).cast("B")
+    c = [hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(x.tolist(), (last + length).tolist())]
+    return h[x].view(np.int64), c, x, last - x, at[x]
 
 
 def _fingerprints(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts, ids = [], []
+            parts, ids, digests = [], [], []
             for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"]):
                 found = contexts(codes_of(text), length, gram)
                 if found is not None:
-                    parts.append(found)
-                    ids.append(np.full(len(found[0]), doc_id, dtype=np.int64))
+                    m, c, x, n, _ = found
+                    parts.append((m, x, n))
+                    digests += c
+                    ids.append(np.full(len(m), doc_id, dtype=np.int64))
             if parts:
-                m, c, x, n, _ = (np.concatenate(z) for z in zip(*parts))
-                yield pd.DataFrame({"m": m, "c": c, "doc_id": np.concatenate(ids), "x": x.astype(np.int32), "n": n.astype(np.int32)})
+                m, x, n = (np.concatenate(z) for z in zip(*parts))
+                yield pd.DataFrame({"m": m, "c": digests, "doc_id": np.concatenate(ids), "x": x.astype(np.int32), "n": n.astype(np.int32)})
 
     return run
 
@@ -127,15 +152,15 @@ def _texts_of(length: int, gram: int):
             for text, wants in zip(pdf["text"], pdf["wants"]):
                 for w in wants:
                     part = text[w["x"] : w["x"] + w["n"] + length]
-                    found = contexts(codes_of(part), length, gram)
-                    rows.append((w["m"], w["c"], w["lo"], w["hi"], w["n"], int(found[4][0]), w["large"], part))
+                    at, _ = elected(codes_of(part), length, gram)
+                    rows.append((w["m"], w["c"], w["lo"], w["hi"], w["n"], int(at[0]), w["large"], part))
             if rows:
                 yield pd.DataFrame(rows, columns=["m", "c", "lo", "hi", "n", "anchor", "large", "part"])
 
     return run
 
 
-PART = "m long, c long, lo long, hi long, n int, anchor int, large boolean, part string"
+PART = "m long, c binary, lo long, hi long, n int, anchor int, large boolean, part string"
 
 
 def _windows(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
@@ -208,12 +233,15 @@ def _compare(length: int):
 
 
 def _exploded(length: int):
+    """Every window of every context with its offset to the elected gram and a digest of its text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                who, offset, step, _, h1, h2, _ = _windows(pdf, length)
-                r = pdf.iloc[who]
-                yield pd.DataFrame({"m": r["m"].to_numpy(), "c": r["c"].to_numpy(), "lo": r["lo"].to_numpy(), "hi": r["hi"].to_numpy(), "o": offset.astype(np.int32), "step": step.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
+            for r in pdf.itertuples():
+                raw = memoryview(codes_of(r.part)).cast("B")
+                step = range(r.n + 1)
+                w = [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16).digest() for i in step]
+                yield pd.DataFrame({"m": r.m, "c": [r.c] * len(w), "lo": r.lo, "hi": r.hi, "o": np.arange(len(w), dtype=np.int32) - np.int32(r.anchor), "step": np.arange(len(w), dtype=np.int32), "w": w})
 
     return run
 
@@ -228,76 +256,105 @@ def merge_intervals(df: DataFrame) -> DataFrame:
 
 
 class SpanIndex:
-    """Runs of context fingerprints. ``documents`` must give the text of any indexed record again."""
+    """Runs of context fingerprints and the matches found so far."""
 
-    def __init__(self, spark: SparkSession, length: int = 200, gram: int = 40, buckets: int = 0, fan_in: int = 4, group_limit: int = 2000):
+    def __init__(self, spark: SparkSession, length: int = 200, gram: int = 40, buckets: int = 0, fan_in: int = 4, group_limit: int = 2000, salts: int = SALTS):
         if not 1 < gram < length:
             raise ValueError("gram must be shorter than length")
-        self.spark, self.length, self.gram = spark, length, gram
+        self.spark, self.length, self.gram, self.salts = spark, length, gram, salts
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.fan_in, self.group_limit = fan_in, group_limit
-        self.runs: dict[str, str] = {}
-
-    def _write(self, df: DataFrame) -> None:
-        name, path = f"veilwright_run_{uuid.uuid4().hex}", scratch(self.spark, "run")
-        sorted_run = df.repartition(self.buckets, "m").write.bucketBy(self.buckets, "m").sortBy("m", "c")
-        sorted_run.option("path", path).option("compression", "zstd").saveAsTable(name)
-        self.runs[name] = path
-
-    def add(self, docs: DataFrame) -> None:
-        """Index the records of a batch as one more run."""
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
-        self._write(texts.mapInPandas(_fingerprints(self.length, self.gram), CONTEXT))
-        if len(self.runs) > self.fan_in:
+        self.batches = self.runs = 0
+        self.tables: dict[str, str] = {}
+        self.paths: dict[str, str] = {}
+
+    def _append(self, kind: str, df: DataFrame, keys: list[str]) -> None:
+        """Append a run to the table of ``kind``, bucketed by ``keys`` and sorted."""
+        first = kind not in self.tables
+        if first:
+            self.tables[kind] = f"veilwright_{kind}_{uuid.uuid4().hex}"
+            self.paths[kind] = scratch(self.spark, kind)
+        df = df.repartition(self.buckets, *keys).withColumn("batch", F.lit(self.batches))
+        writer = df.write.mode("append").partitionBy("batch").bucketBy(self.buckets, *keys).sortBy(*keys).option("compression", "zstd")
+        (writer.option("path", self.paths[kind]) if first else writer).saveAsTable(self.tables[kind])
+
+    def _read(self, kind: str) -> DataFrame:
+        return self.spark.table(self.tables[kind])
+
+    def add(self, docs: DataFrame, texts: DataFrame | None = None) -> None:
+        """Index the records of a batch and append the matches it brings. ``texts`` gives the text of any record indexed so far."""
+        n = self.batches
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
+        rows = source.mapInPandas(_fingerprints(self.length, self.gram), CONTEXT)
+        self._append("places", rows.withColumn("salt", salt(F.col("doc_id"), self.salts)), ["m", "salt"])
+        mine = self._read("places").where(f"batch = {n}")
+        place = F.min(F.struct("doc_id", "x", "n")).alias("place")
+        self._append("classes", mine.groupBy("m", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), place), ["m"])
+        classes = self._read("classes")
+        touched = classes.join(classes.where(f"batch = {n}").select("m").distinct(), "m", "left_semi")
+        old = lambda c: F.when(F.col("batch") < n, F.col(c))
+        touched = touched.groupBy("m", "c").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("place"), (F.max("batch") == n).alias("fresh"), (F.min(old("lo")) == F.max(old("hi"))).alias("was_single")
+        )
+        differs = F.min("c") != F.max("c")
+        group = touched.groupBy("m").agg((differs & F.max("fresh") & (F.min("lo") != F.max("hi")) & F.max(F.col("lo") == F.col("hi"))).alias("open"), F.count("*").alias("size"))
+        touched = cut(touched.join(group, "m").where("open or (fresh and lo != hi)"), "span-classes")
+
+        whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"))
+        whole = self._read("places").join(copies(whole, self.salts), ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
+        whole = whole.select("doc_id", F.col("x").alias("start_pos"), (F.col("x") + F.col("n") + self.length).alias("end_pos"))
+        fine = self._compared(touched.where("open"), docs if texts is None else texts)
+        single = touched.where("open and lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
+        partial = self._read("places").join(single.join(fine, ["m", "c"]), ["m", "salt", "c"])
+        partial = partial.select("doc_id", (F.col("x") + F.col("a")).alias("start_pos"), (F.col("x") + F.col("b")).alias("end_pos"))
+        found = whole.unionByName(partial).selectExpr("doc_id", "cast(start_pos as int) start_pos", "cast(end_pos as int) end_pos")
+        self._append("matches", found, ["doc_id"])
+        self.batches += 1
+        self.runs += 1
+        if self.runs > self.fan_in:
             self.compact()
 
-    def compact(self) -> None:
-        """Rewrite all runs as one."""
-        old, self.runs = self.runs, {}
-        self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name in old]))
-        for name, path in old.items():
-            self.spark.sql(f"DROP TABLE {name}")
-            drop_path(self.spark, path)
-
-    def coverage(self, documents: DataFrame) -> DataFrame:
-        """Maximal runs ``(doc_id, start_pos, end_pos)`` in which every code point lies in a shared passage."""
-        if not self.runs:
-            return empty(self.spark, INTERVAL)
-        if len(self.runs) > 1:
-            self.compact()
-        same, group = Window.partitionBy("m", "c"), Window.partitionBy("m")
-        rows = self.spark.table(next(iter(self.runs)))
-        rows = rows.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).withColumn("first", F.min(F.struct("doc_id", "x")).over(same))
-        rows = rows.withColumn("rep", F.col("first") == F.struct("doc_id", "x")).drop("first")
-        several = (F.min("lo").over(group) != F.max("hi").over(group)) & (F.min("c").over(group) != F.max("c").over(group))
-        unsure = F.max((F.col("lo") == F.col("hi")).cast("int")).over(group) == 1
-        rows = rows.withColumn("open", several & unsure).withColumn("differing", F.sum(F.col("rep").cast("int")).over(group))
-        rows = cut(rows.where("lo != hi or open"), "span-flagged")
-        whole = rows.where("lo != hi").select("doc_id", F.col("x").alias("start_pos"), (F.col("x") + F.col("n") + self.length).alias("end_pos"))
-        wants = rows.where("open and rep").groupBy("doc_id").agg(F.collect_list(F.struct("m", "c", "lo", "hi", "x", "n", (F.col("differing") > self.group_limit).alias("large"))).alias("wants"))
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
-        parts = texts.join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART)
-        parts = cut(parts, "span-parts")
-        fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c long, a int, b int")
-        fine = fine.unionByName(self._large(parts.where("large")))
-        partial = rows.where("open and lo = hi").select("m", "c", "doc_id", "x").join(fine, ["m", "c"])
-        partial = partial.select("doc_id", (F.col("x") + F.col("a")).alias("start_pos"), (F.col("x") + F.col("b")).alias("end_pos"))
-        return merge_intervals(whole.unionByName(partial).selectExpr("doc_id", "cast(start_pos as int) start_pos", "cast(end_pos as int) end_pos"))
+    def _compared(self, groups: DataFrame, texts: DataFrame) -> DataFrame:
+        """Shared windows ``(m, c, a, b)`` of differing contexts with one elected gram."""
+        want = F.struct("m", "c", "lo", "hi", "place.x", "place.n", (F.col("size") > self.group_limit).alias("large"))
+        wants = groups.groupBy("place.doc_id").agg(F.collect_list(want).alias("wants"))  # bounded by the record's own text
+        texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
+        parts = cut(texts.join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
+        fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c binary, a int, b int")
+        return fine.unionByName(self._large(parts.where("large"))).distinct()
 
     def _large(self, parts: DataFrame) -> DataFrame:
-        win = parts.mapInPandas(_exploded(self.length), "m long, c long, lo long, hi long, o int, step int, h1 long, h2 long")
-        key = ["m", "o", "h1", "h2"]
+        win = parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, o int, step int, w binary")
+        key = ["m", "o", "w"]
         shared = win.groupBy(*key).agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select(*key)
         hit = win.where("lo = hi").join(shared, key, "left_semi")
         return hit.select("m", "c", F.col("step").alias("a"), (F.col("step") + self.length).cast("int").alias("b"))
 
+    def compact(self) -> None:
+        """Merge the runs; places of classes that are shared already are dropped."""
+        old = {k: (self.tables.pop(k), self.paths.pop(k)) for k in ("places", "classes")}
+        read = lambda k: self.spark.table(old[k][0])
+        at, self.batches = self.batches, self.batches - 1
+        classes = read("classes").groupBy("m", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("place"))
+        single = classes.where("lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
+        self._append("places", read("places").drop("batch").join(single, ["m", "salt", "c"], "left_semi").select("m", "c", "doc_id", "x", "n", "salt"), ["m", "salt"])
+        self._append("classes", classes, ["m"])
+        self.batches, self.runs = at, 1
+        for name, path in old.values():
+            self.spark.sql(f"DROP TABLE {name}")
+            drop_path(self.spark, path)
+
+    def coverage(self) -> DataFrame:
+        """Maximal runs ``(doc_id, start_pos, end_pos)`` in which every code point lies in a shared passage."""
+        return merge_intervals(self._read("matches").drop("batch")) if self.batches else empty(self.spark, INTERVAL)
+
 
 def shared_spans(documents: DataFrame, batches: int = 2, **options) -> DataFrame:
     """Index ``documents`` in batches and return the shared runs of all of them."""
     index = SpanIndex(documents.sparkSession, **options)
     for i in range(batches):
-        index.add(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    return index.coverage(documents)
+        index.add(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), documents)
+    return index.coverage()
 
 
 def shared_fraction(documents: DataFrame, spans: DataFrame) -> DataFrame:
