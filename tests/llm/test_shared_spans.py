@@ -105,7 +105,7 @@ def test_a_batch_writes_no_history(spark):
     index = SpanIndex(spark, length=L, gram=16, buckets=4, fan_in=9)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for i in range(3):
-        index.add(df.where(f"doc_id % 3 = {i}"), df)
+        index.add(df.where(f"doc_id % 3 = {i}"))
     per = {r["batch"]: r["n"] for r in index._read("places").groupBy("batch").count().withColumnRenamed("count", "n").collect()}
     fresh = {i: sum(len(S.contexts(S.codes_of(t), L, 16)[0]) for d, t in texts.items() if d % 3 == i and len(t) >= L) for i in range(3)}
     assert per == fresh

@@ -6,8 +6,8 @@ window to the end of the last. A passage of at least ``length`` code points that
 same grams in both, so only contexts with an elected gram in common need to be compared. A record yields about two
 contexts per ``length - gram`` code points.
 
-The index has two tables of immutable sorted runs, one run per batch: *places* ``(gram hash m, digest c, doc_id, x, n)``
-of all contexts, and *classes* of equal contexts ``(m, c)`` with the smallest and largest record and one place. ``c`` is
+The index has tables of immutable sorted runs, one run per batch: the *texts* by record, *places* ``(gram hash m, digest c, doc_id, x, n)``
+of all contexts by gram, and *classes* of equal contexts ``(m, c)`` with the smallest and largest record and one place. ``c`` is
 a cryptographic digest of the context's text. Rows of one gram are split over parts by record, and a class is one row
 however often it occurs, so a notice that stands everywhere is no hot key.
 
@@ -237,11 +237,16 @@ def _exploded(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                raw = memoryview(codes_of(r.part)).cast("B")
-                step = range(r.n + 1)
-                w = [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16).digest() for i in step]
-                yield pd.DataFrame({"m": r.m, "c": [r.c] * len(w), "lo": r.lo, "hi": r.hi, "o": np.arange(len(w), dtype=np.int32) - np.int32(r.anchor), "step": np.arange(len(w), dtype=np.int32), "w": w})
+            if len(pdf):
+                count = pdf["n"].to_numpy() + 1
+                who = np.repeat(np.arange(len(pdf)), count)
+                step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+                w = []
+                for part, n in zip(pdf["part"], count.tolist()):
+                    raw = memoryview(codes_of(part)).cast("B")
+                    w += [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16).digest() for i in range(n)]
+                rows = {c: pdf[c].to_numpy()[who] for c in ("m", "c", "lo", "hi")}
+                yield pd.DataFrame({**rows, "o": (step - pdf["anchor"].to_numpy()[who]).astype(np.int32), "step": step.astype(np.int32), "w": w})
 
     return run
 
@@ -281,11 +286,21 @@ class SpanIndex:
     def _read(self, kind: str) -> DataFrame:
         return self.spark.table(self.tables[kind])
 
-    def add(self, docs: DataFrame, texts: DataFrame | None = None) -> None:
-        """Index the records of a batch and append the matches it brings. ``texts`` gives the text of any record indexed so far."""
+    def add(self, docs: DataFrame) -> None:
+        """Index the records of a batch and append the matches it brings."""
+        key = "spark.sql.requireAllClusterKeysForCoPartition"  # joins on more columns than the buckets' must not shuffle
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            self._add(docs)
+        finally:
+            self.spark.conf.set(key, before)
+
+    def _add(self, docs: DataFrame) -> None:
         n = self.batches
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
-        rows = source.mapInPandas(_fingerprints(self.length, self.gram), CONTEXT)
+        self._append("texts", source, ["doc_id"])
+        rows = self._read("texts").where(f"batch = {n}").select("doc_id", "text").mapInPandas(_fingerprints(self.length, self.gram), CONTEXT)
         self._append("places", rows.withColumn("salt", salt(F.col("doc_id"), self.salts)), ["m", "salt"])
         mine = self._read("places").where(f"batch = {n}")
         place = F.min(F.struct("doc_id", "x", "n")).alias("place")
@@ -303,7 +318,7 @@ class SpanIndex:
         whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"))
         whole = self._read("places").join(copies(whole, self.salts), ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
         whole = whole.select("doc_id", F.col("x").alias("start_pos"), (F.col("x") + F.col("n") + self.length).alias("end_pos"))
-        fine = self._compared(touched.where("open"), docs if texts is None else texts)
+        fine = self._compared(touched.where("open"))
         single = touched.where("open and lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
         partial = self._read("places").join(single.join(fine, ["m", "c"]), ["m", "salt", "c"])
         partial = partial.select("doc_id", (F.col("x") + F.col("a")).alias("start_pos"), (F.col("x") + F.col("b")).alias("end_pos"))
@@ -314,17 +329,16 @@ class SpanIndex:
         if self.runs > self.fan_in:
             self.compact()
 
-    def _compared(self, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    def _compared(self, groups: DataFrame) -> DataFrame:
         """Shared windows ``(m, c, a, b)`` of differing contexts with one elected gram."""
         want = F.struct("m", "c", "lo", "hi", "place.x", "place.n", (F.col("size") > self.group_limit).alias("large"))
         wants = groups.groupBy("place.doc_id").agg(F.collect_list(want).alias("wants"))  # bounded by the record's own text
-        texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"length(text) >= {self.length}")
-        parts = cut(texts.join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
+        parts = cut(self._read("texts").select("doc_id", "text").join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
         fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c binary, a int, b int")
         return fine.unionByName(self._large(parts.where("large"))).distinct()
 
     def _large(self, parts: DataFrame) -> DataFrame:
-        win = parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, o int, step int, w binary")
+        win = cut(parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, o int, step int, w binary"), "span-windows")
         key = ["m", "o", "w"]
         shared = win.groupBy(*key).agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select(*key)
         hit = win.where("lo = hi").join(shared, key, "left_semi")
@@ -353,7 +367,7 @@ def shared_spans(documents: DataFrame, batches: int = 2, **options) -> DataFrame
     """Index ``documents`` in batches and return the shared runs of all of them."""
     index = SpanIndex(documents.sparkSession, **options)
     for i in range(batches):
-        index.add(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), documents)
+        index.add(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
     return index.coverage()
 
 
