@@ -66,12 +66,58 @@ def test_entities(spark):
     rows += [("Person", "Murat Denkaçosevsel", "again"), ("Person", None, ""), ("Person", "  ", ""), (None, "Murat", ""), ("Email", "a@b.example", "")]
     df = spark.createDataFrame(rows, "label string, text string, core string")
     got = {}
-    for r in N.entities(df, common=3).collect():
+    for r in N.entities(df, common=1).collect():
         got.setdefault((r["label"], r["entity_id"]), set()).add(r["text"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, PEOPLE + FIRMS))
     pairs = N.pairs(N.entities(df))
     assert pairs.count() == sum(len(s) * (len(s) - 1) // 2 for s in PEOPLE + FIRMS) and pairs.where("text_a >= text_b").count() == 0
 
 
+def test_short_cores(spark):
+    """Errors inside short surnames and company words are met; real names one letter apart are not joined."""
+    same = [{"Ayşe Kaya", "Ayşe Kayq"}, {"Ayşe Demir", "Ayşe Demri"}, {"Vestek Teknoloji A.Ş.", "Vestak Teknoloji A.Ş."}, {"Arnek", "Arnak"}, {"Ayşe Karaca", "Ayşe Karoca"}, {"Zeynep Uzunsoy", "Zeynep Uzunsyo"}]
+    apart = [{"Ayşe Demirci"}, {"Mehmet Kaya"}, {"Ali Kurt"}, {"Ali Kurs"}, {"Veli Kurs"}, {"Veli Kurt"}]
+    firm = lambda t: t.startswith(("Vest", "Arn"))
+    rows = [("Company" if firm(t) else "Person", t) for s in same + apart for t in s]
+    got = {}
+    for r in N.entities(spark.createDataFrame(rows, "label string, text string")).collect():
+        got.setdefault((r["label"], r["entity_id"]), set()).add(r["text"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, same + apart))
+
+
+@given(st.lists(st.text("abc", min_size=4, max_size=16), min_size=2, max_size=2))
+def test_one_error_shares_a_key(words):
+    """What the keys rest on: half of the core without two letters, in one direction, or a form with one letter left out."""
+    a, b = words
+    if a == b or not N.one_error(a, b):
+        return
+    k = (min(len(a), len(b)) - 2) // 2
+    assert a[len(a) - k :] == b[len(b) - k :] or a[:k] == b[:k]
+    assert N.one_left_out(a) & N.one_left_out(b)
+
+
+def test_keys_lose_no_pair(spark):
+    import random
+
+    r = random.Random(4)
+    words = {"".join(r.choice("abcde") for _ in range(r.randint(4, 15))) for _ in range(60)}
+    for w in list(words):
+        i = r.randrange(len(w) - 1)
+        words |= {w[:i] + w[i + 1 :] if len(w) > 4 else w, w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
+    want = {(a, b) for a in words for b in words if a < b and N.one_error(a, b)}
+    cores = spark.createDataFrame([("Person", w) for w in words], "label string, core string")
+    for common in (50, 1):
+        got = {(x["x_core"], x["y_core"]) for x in N.core_pairs(cores, common=common).collect()}
+        assert want <= got and all(len(a) - 1 <= N.lcs_ratio(a, b) * (len(a) + len(b)) / 2 + 0.51 for a, b in got)
+
+
+def test_hot_core_is_linear():
+    import time
+
+    nodes = [{"part": f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i:05d}".translate(str.maketrans("0123456789", "bcdfghjklm")), "part2": "", "legal": "", "formal": None, "n": 1} for i in range(6000)]
+    began = time.time()
+    assert len(N.resolve("Person", nodes)) == 6000 and time.time() - began < 60
+
+
 def test_empty(spark):
     assert N.entities(spark.createDataFrame([], "label string, text string")).count() == 0

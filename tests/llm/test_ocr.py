@@ -37,7 +37,7 @@ def test_found(repair):
 
 def test_pages(repair):
     got = {(r["file_id"], r["page_number"]): r["text"] for r in repair.pages().collect()}
-    assert got == {(1, 1): "Kira bedelini denetim kurulu onaylar. Ek protokolü proje ofisi 2O24.", (1, 2): "Rapor iç-denetim teslim eder.", (1, 4): ""}
+    assert got == {(1, 1): "Kira bedelini denetim kurulu onaylar. Ek protokolü proje ofisi 2024.", (1, 2): "Rapor iç-denetim teslim eder.", (1, 4): ""}
 
 
 def test_empty(spark):
@@ -72,3 +72,27 @@ def test_misread_numbers(spark):
 def test_page_numbers(line, n):
     got = ocr.page_number_of(line) if line else None
     assert (got[0] if got else None) == n
+
+
+def vocab(spark, rows):
+    return spark.createDataFrame([(k, n, w) for k, n, w in rows], "key string, n long, w double")
+
+
+def test_three_confusions_are_joined(spark):
+    rows = [("emekli", 500, 500.0), ("cmckl1", 1, 1.0), ("kira", 300, 300.0), ("lcrri1", 1, 1.0), ("hane", 400, 400.0), ("harı3", 1, 1.0)]
+    got = {r["key"]: (r["correct"], r["confusions"]) for r in ocr.corrections(vocab(spark, rows)).collect()}
+    assert got == {"cmckl1": ("emekli", 3)}
+
+
+def test_confidence_lowers_the_evidence_needed(spark):
+    """A form on badly read pages only is corrected although it is too frequent for good pages."""
+    right = ("denetim", 60, 60.0)
+    assert ocr.corrections(vocab(spark, [right, ("dcnetim", 10, 10.0)])).count() == 0
+    assert ocr.corrections(vocab(spark, [right, ("dcnetim", 10, 4.0)])).count() == 1
+    assert [ocr.page_weight(c) for c in (None, -1.0, 20.0, 80.0, float("nan"))] == [1.0, 1.0, 0.3, 0.8, 1.0]
+
+
+def test_confusions_are_a_parameter(spark):
+    rows = [("rapor", 100, 100.0), ("rapur", 1, 1.0)]
+    assert ocr.corrections(vocab(spark, rows)).count() == 0
+    assert ocr.corrections(vocab(spark, rows), confusions="o>u").first()["correct"] == "rapor"

@@ -82,8 +82,50 @@ def test_surrogates():
 def test_tables(spark):
     rows = [(1, DOC, "a"), (1, DOC, "a"), (2, None, "b"), (3, "", "c"), (4, "x " * 50_000 + "Tanık Ali Kordağ", "d")]
     df = spark.createDataFrame(rows, "id long, text string, pii_type string")
-    spans = pii.detect_table(df, ["id"], "text").distinct()
+    rows = pii.replace_table(df, ["id"], "text", "k")
+    spans = rows.distinct()
+    assert {r["placeholder"] for r in rows.where("id = 1").collect()} >= {"[PERSON_1]", "[EMAIL_1]"} and rows.where("surrogate is null").count() == 0
     assert spans.where("id = 1").count() == len(pii.detect(DOC)) and spans.where("id = 4").first()["start_pos"] == 100_006
     masked = {r["id"]: r for r in pii.mask_table(df, ["id"], "text", "k").collect()}
     assert masked[2]["masked"] is None and masked[3]["masked"] == "" and masked[4]["occurrences"] == 1
-    assert pii.detect_table(df.limit(0), ["id"], "text").count() == 0
+    assert pii.replace_table(df.limit(0), ["id"], "text", "k").count() == 0
+
+
+def test_many_people_stay_apart_in_linear_time():
+    import time
+
+    names = [f"Ali Soyad{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(5000)]
+    text, at, spans = ". ".join(names), 0, []
+    for n in names:
+        at = text.index(n, at)
+        spans.append(pii.Found("PERSON", at, at + len(n)))
+    began = time.time()
+    made = pii.drawn(text, b"k", spans)
+    assert len(set(made)) == 5000 and not set(made) & set(names) and time.time() - began < 30
+
+
+def test_ambiguous_mentions_are_entities_of_their_own():
+    text = "Tanık Ali Kordağ, Tanık Ayşe Kordağ, A. Kordağ, Sayın Kordağ. Tanık Can Demirsoy, C. Demirsoy, Sayın Demirsoy."
+    assert pii.placeholders(text) == "Tanık [PERSON_1], Tanık [PERSON_2], [PERSON_3], Sayın [PERSON_4]. Tanık [PERSON_5], [PERSON_5], Sayın [PERSON_5]."
+
+
+@pytest.mark.parametrize("text,want", [("Call (020) 7946 0958 or 020 7946 0958.", ["(020) 7946 0958", "020 7946 0958"]), ("His SSN is 123456789, passport no. 987654321.", ["123456789", "987654321"]), ("Order 123456789 shipped.", [])])
+def test_numbers_in_other_forms(text, want):
+    assert [t for _, t in found(text)] == want
+
+
+def test_model_finds_names_outside_the_lists(spark):
+    """Fitted on names of the lists in some surroundings, it finds names that no list has there and in plain sentences."""
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("bdklmnrst") + r.choice("aeio") for _ in range(3)).capitalize()
+    given = (pii.FEMALE + " " + pii.MALE).split()
+    frames = ["Dün {} ofise geldi.", "The letter of {} was read.", "Toplantıyı {} yönetti.", "Beide Parteien erhalten {} heute.", "We met {} again."]
+    texts = [(i, r.choice(frames).format(f"{r.choice(given)} {word()}") + " Genel Kurul toplandı. Proje Ofisi kapalı. Am Montag war Ruhe.") for i in range(400)]
+    model = pii.fit_names(spark.createDataFrame(texts, "id long, text string"), "text")
+    for name in ("Priya Natarajan", "Oluwaseun Adeyemi", "Zoltán Kovács", "Haluk Yıldırım", "Greta Lindqvist"):
+        text = f"The letter of {name} was read. Genel Kurul toplandı."
+        assert [text[f.start : f.end] for f in pii.detect(text, model)] == [name]
+        assert pii.detect(text) == []
+    assert pii.detect("", model) == [] and pii.fit_names(spark.createDataFrame([], "id long, text string"), "text").probabilities([]) == []

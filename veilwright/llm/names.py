@@ -7,11 +7,15 @@
    name used alone, one typing error. Parts that contradict each other stay apart, so relatives with one surname and
    companies with one first word in different trades are different entities. A group here holds distinct parts of
    one core, not rows, so a hot name costs no more than a rare one.
-3. Across cores, token suffixes of at least ``min_suffix`` letters (of the core read forwards and backwards) are
-   indexed. A suffix with more than ``common`` cores is refined with the part's first letter and then with the core's
-   other end before it would be too common; no key is dropped, a refined key only gets longer. Pairs that share a key
-   are compared by the ratio of their longest common subsequence and must be one typing error apart with agreeing
-   parts; where parts agree only by an initial the link must be the only one. Linked clusters form one entity.
+3. Across cores, token suffixes are indexed, of the core read forwards and backwards. Two cores of ``l`` or ``l + 1``
+   letters that are one typing error apart share a suffix of ``(l - 2) // 2`` letters in one of the directions, so each
+   core stands under the suffixes of that length only, if it is at least ``min_suffix``. A suffix with more than
+   ``common`` cores is not discarded but refined with the rest of the core, one letter of it left out in turn; cores
+   too short for a suffix stand under their own such forms. So no pair is lost and no key is crowded. Pairs of cores that
+   share a key are compared by the ratio of their longest common subsequence, which may miss one letter.
+4. Clusters of two such cores are linked if their parts agree: equal parts always, an initial or a missing trade only
+   if the rarer cluster has no other link. Of cores with at most ``short`` letters one must name one entity only, as a
+   surname that many given names go with is no error. Linked clusters form one entity.
 
 Defined results: null and blank texts have no entity; equal texts are one spelling; a text without letters is an
 entity of its own; other labels are ignored; an empty table gives no rows; extra columns are ignored.
@@ -22,9 +26,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.llm import lookalike, pii
@@ -75,6 +80,47 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def one_left_out(word: str) -> set[str]:
+    """The word and every form of it without one letter: words one error apart have one in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+class _Index:
+    """Known words in order, found by one error or by a common subsequence without comparing all."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.forms: dict[str, list[int]] = defaultdict(list)
+        self.pairs: dict[str, list[int]] = defaultdict(list)
+        self.heads: dict[str, list[int]] = defaultdict(list)
+
+    def add(self, word: str) -> None:
+        n = len(self.words)
+        self.words.append(word)
+        for f in one_left_out(word):
+            self.forms[f].append(n)
+        for i in range(len(word) - 1):
+            self.pairs[word[i : i + 2]].append(n)
+        self.heads[word[:2]].append(n)
+
+    def error(self, word: str) -> str | None:
+        """The first word that is one error away."""
+        met = {n for f in one_left_out(word) for n in self.forms.get(f, ())}
+        return next((self.words[n] for n in sorted(met) if one_error(word, self.words[n])), None)
+
+    def alike(self, word: str, ratio: float = 0.8) -> str | None:
+        """The first word with that LCS ratio; such words of four letters or more share two neighbouring letters."""
+        met = {n for i in range(len(word) - 1) for n in self.pairs.get(word[i : i + 2], ())}
+        return next((self.words[n] for n in sorted(met) if lcs_ratio(word, self.words[n]) >= ratio), None)
+
+    def head(self, word: str) -> str | None:
+        """The only word with the longest common beginning, of two letters or more."""
+        common = [(_prefix(word, self.words[n]), self.words[n]) for n in self.heads.get(word[:2], ())]
+        best = max((k for k, _ in common), default=0)
+        fits = [w for k, w in common if k == best]
+        return fits[0] if best >= 2 and len(fits) == 1 else None
+
+
 def _near(word: str, known: set[str] | dict) -> str | None:
     """The known word that ``word`` is, or is one error from (the first in order)."""
     if word in known:
@@ -219,31 +265,39 @@ def _people(nodes: list[dict]) -> list[str]:
                 seconds[n["part"]][n["part2"]] += n["n"]
     names = sorted(weight, key=lambda g: (g not in _GIVEN, -weight[g], g))
     owner: dict[str, str] = {}
+    roots = _Index()
     formal = {n["part"]: n["formal"] for n in nodes if n["formal"] is not None and len(n["formal"])}
     for g in names:  # known given names first, the frequent ones before the rare
         target = g
         if g not in _GIVEN:
             own = [t for t in formal.get(g, ()) if t in owner]
-            err = [t for t in owner if owner[t] == t and one_error(g, t)] if len(g) > 2 else []
-            err = err or [t for t in owner if owner[t] == t and len(g) > 3 and lcs_ratio(g, t) >= 0.8]
+            err = roots.error(g) if len(g) > 2 else None
+            err = err or (roots.alike(g) if len(g) > 3 else None)
             if own:
                 target = owner[own[0]]
             elif err:
-                target = owner[err[0]]
-            else:
-                common = {t: _prefix(g, t) for t in owner if owner[t] == t}
-                best = max(common.values(), default=0)
-                fits = [t for t, k in common.items() if k == best]
-                if best >= 2 and len(fits) == 1 and len(g) <= len(fits[0]) + 2:
-                    target = fits[0]
+                target = err
+            elif (head := roots.head(g)) and len(g) <= len(head) + 2:
+                target = head
         owner[g] = target
+        if target == g:
+            roots.add(g)
+    after: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    for f in names:
+        for sec in seconds[f]:
+            for form in one_left_out(sec) if len(sec) > 2 else (sec,):
+                after[form].add((f, sec))
     for g in names:  # a second given name used alone
         if owner[g] == g and not seconds[g]:
-            fits = {owner[f] for f in names if f != g and owner[f] != g and any(g == s or len(s) > 2 and one_error(g, s) for s in seconds[f])}
+            met = {x for form in one_left_out(g) for x in after.get(form, ())}
+            fits = {owner[f] for f, sec in met if f != g and owner[f] != g and (g == sec or len(sec) > 2 and one_error(g, sec))}
             if len(fits) == 1:
                 owner[g] = fits.pop()
     mains = sorted({_root(owner, g) for g in names})
     split = {m: _split_seconds(m, [(s, k) for g in names if _root(owner, g) == m for s, k in seconds[g].items()]) for m in mains}
+    under: dict[str, list[str]] = defaultdict(list)
+    for m in mains:
+        under[m[:1]].append(m)
     out = []
     for n in nodes:
         p, q = n["part"], n["part2"]
@@ -251,7 +305,7 @@ def _people(nodes: list[dict]) -> list[str]:
             main = _root(owner, p)
             out.append(f"{main} {split[main].get(q, '')}".strip() if q else main if not _several(split[main]) else f"{main} ?")
             continue
-        fits = [m for m in mains if m[:1] == p] if p else []
+        fits = under[p] if p else []
         if q and len(fits) > 1:
             fits = [m for m in fits if any(s[:1] == q[:1] for s in split[m])] or fits
         out.append(fits[0] if len(fits) == 1 and not _several(split[fits[0]]) else f"{p}." if p else "")
@@ -331,73 +385,72 @@ def _resolve_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 # -- across cores
 
 
-def suffix_keys(clusters: DataFrame, min_suffix: int = 5, common: int = 50) -> DataFrame:
-    """Blocking keys of each cluster ``(cluster, label, core, entity)``."""
-    rows = clusters.select("cluster", "label", "core", F.substring("entity", 1, 1).alias("p"))
+def suffix_keys(cores: DataFrame, min_suffix: int = 5, common: int = 50) -> DataFrame:
+    """Blocking keys ``(key, label, core)`` of distinct cores."""
+    half = lambda n: F.floor((n - 2) / 2).cast("int")
+    size = F.length("core")
+    sizes = F.array_distinct(F.array(half(size), half(size - 1)))
+    rows = cores.where(size >= 4).select("label", "core", F.explode(sizes).alias("k"))
     both = F.array(F.struct(F.lit("f").alias("d"), F.col("core").alias("w")), F.struct(F.lit("b").alias("d"), F.reverse("core").alias("w")))
-    rows = rows.where(F.length("core") >= min_suffix + 1).select("*", F.explode(both).alias("x"))
-    lengths = F.sequence(F.lit(min_suffix), F.length("core") - 1)
-    rows = rows.select("cluster", "label", "p", F.col("x.d").alias("d"), F.col("x.w").alias("w"), F.explode(lengths).alias("k"))
-    rows = rows.select("cluster", "label", "p", "d", F.expr("right(w, k)").alias("s"), F.substring("w", 1, 2).alias("other"))
-    plain = ["label", "d", "s"]
-    counts = rows.groupBy(*plain).agg(F.count("*").alias("n_plain"))
-    refined = rows.groupBy(*plain, "p").agg(F.count("*").alias("n_refined"))
-    rows = rows.join(counts, plain).join(refined, [*plain, "p"])
-    key = F.when(F.col("n_plain") <= common, F.concat_ws("|", "label", "d", "s"))
-    key = key.when(F.col("n_refined") <= common, F.concat_ws("|", "label", "d", "s", "p")).otherwise(F.concat_ws("|", "label", "d", "s", "p", "other"))
-    return rows.select("cluster", key.alias("key"), F.length("s").alias("k"))
-
-
-def _agree(label: str, a: str, b: str) -> bool:
-    """Parts of two cores that may belong to one entity."""
-    if a == b:
-        return True
-    if label == "Company":
-        return not a or not b
-    x, y = a.split(" ")[0].rstrip("."), b.split(" ")[0].rstrip(".")
-    if len(x) == 1 or len(y) == 1:
-        return bool(x and y) and x[0] == y[0]
-    return x == y
-
-
-LINK = "weak string, strong string, ratio double, exact boolean"
-
-
-def link(clusters: DataFrame, ratio: float = 0.85, **options) -> DataFrame:
-    """Links between clusters of different cores: all with equal parts, others if the rarer cluster has no other."""
-    keys = suffix_keys(clusters, **options)
+    long = rows.where(F.col("k") >= min_suffix).select("label", "core", "k", F.explode(both).alias("x"))
+    long = long.select("label", "core", F.col("x.d").alias("d"), F.expr("right(x.w, k)").alias("s"), F.expr("left(x.w, length(x.w) - k)").alias("rest"))
+    crowded = long.groupBy("label", "d", "s").agg(F.count("*").alias("cores"))
+    long = long.join(crowded, ["label", "d", "s"])
+    short = rows.where(F.col("k") < min_suffix).select("label", "core", F.lit("").alias("d"), F.lit("").alias("s"), F.col("core").alias("rest"), F.lit(True).alias("refine")).distinct()
+    rows = long.select("label", "core", "d", "s", "rest", (F.col("cores") > common).alias("refine")).unionByName(short)
+    left_out = F.transform(F.sequence(F.lit(1), F.length("rest")), lambda i: F.concat(F.substring(F.col("rest"), F.lit(1), i - 1), F.substring(F.col("rest"), i + 1, F.length("rest"))))
+    forms = F.when(F.col("refine"), F.array_distinct(F.array_append(left_out, F.col("rest")))).otherwise(F.array(F.lit("*")))
+    rows = rows.select("label", "core", "d", "s", F.explode(forms).alias("form"))
+    return rows.select(F.concat_ws("|", "d", "s", "form").alias("key"), "label", "core")
+
+
+def core_pairs(cores: DataFrame, **options) -> DataFrame:
+    """Pairs ``(label, x_core, y_core)`` of different cores whose longest common subsequence misses at most one letter."""
+    keys = suffix_keys(cores, **options)
     a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cluster") < F.col("b.cluster"))).select(F.col("a.cluster").alias("x"), F.col("b.cluster").alias("y")).distinct()
-    info = clusters.select("cluster", "label", "core", "entity", "forms", "weight")
-    left = info.select([F.col(c).alias(f"x_{c}") for c in info.columns])
-    right = info.select([F.col(c).alias(f"y_{c}") for c in info.columns])
-    pairs = pairs.join(left, F.col("x") == F.col("x_cluster")).join(right, F.col("y") == F.col("y_cluster"))
+    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.core") < F.col("b.core"))
+    near = F.abs(F.length("a.core") - F.length("b.core")) <= 1
+    pairs = a.join(b, same & near).select(F.col("a.label").alias("label"), F.col("a.core").alias("x_core"), F.col("b.core").alias("y_core"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                if r.x_core == r.y_core or not one_error(r.x_core, r.y_core) or not _agree(r.x_label, r.x_entity, r.y_entity):
-                    continue
-                score = lcs_ratio(r.x_core, r.y_core)
-                if score < ratio:
-                    continue
-                up = (r.x_forms, r.x_weight, r.x_cluster) < (r.y_forms, r.y_weight, r.y_cluster)
-                rows.append((r.x, r.y, score, r.x_entity == r.y_entity) if up else (r.y, r.x, score, r.x_entity == r.y_entity))
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINK.split(", ")])
+            ok = [lcs_ratio(x, y) >= 1 - 1 / min(len(x), len(y)) - 1e-9 for x, y in zip(pdf["x_core"], pdf["y_core"])]
+            yield pdf[ok]
 
-    found = spread(pairs, "x").mapInPandas(compare, LINK)
-    found = found.withColumn("rivals", F.count("*").over(Window.partitionBy("weak")))
-    return found.where("exact or rivals = 1").select("weak", "strong")
+    return spread(pairs.distinct(), "x_core").mapInPandas(compare, "label string, x_core string, y_core string")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(cluster, root)`` of every linked cluster: the smallest name in its component, handed on and shortened."""
+def link(clusters: DataFrame, short: int = 6, **options) -> DataFrame:
+    """Links between clusters of different cores: all with equal parts, others if the rarer cluster has no other."""
+    cores = clusters.groupBy("label", "core").agg(F.count("*").alias("named"))
+    pairs = cut(core_pairs(cores.select("label", "core"), **options), "core-pairs")
+    person = F.col("label") == "Person"
+    word = F.when(person, F.regexp_replace(F.element_at(F.split("entity", " "), 1), r"\.+$", "")).otherwise(F.col("entity"))
+    info = clusters.join(cores, ["label", "core"]).withColumn("word", word)
+    info = info.withColumn("vague", F.when(person, F.length("word") == 1).otherwise(F.col("word") == ""))
+    info = info.withColumn("start", F.when(person, F.substring("word", 1, 1)).otherwise("")).where(~person | ~F.col("vague") | (F.col("word") != ""))
+    side = lambda df, s: df.select("label", *[F.col(c).alias(f"{s}_{c}") for c in ("cluster", "core", "entity", "forms", "weight", "named", "word", "start")])
+    x, y = side(info, "x"), side(info, "y")
+    equal = pairs.join(x, ["label", "x_core"]).join(y, ["label", "y_core"]).where("x_word = y_word")
+    turned = pairs.unionByName(pairs.select("label", F.col("y_core").alias("x_core"), F.col("x_core").alias("y_core")))
+    vague = turned.join(side(info.where("vague"), "x"), ["label", "x_core"]).join(side(info.where("not vague and (label != 'Person' or word != '')"), "y"), ["label", "y_core"]).where("x_start = y_start")
+    met = equal.unionByName(vague)
+    order = lambda s: F.struct(*[F.col(f"{s}_{c}") for c in ("forms", "weight", "cluster")])
+    up = order("x") < order("y")
+    pick = lambda c: F.when(up, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}"))
+    found = met.select(pick("cluster").alias("weak"), F.when(up, F.col("y_cluster")).otherwise(F.col("x_cluster")).alias("strong"), (F.col("x_entity") == F.col("y_entity")).alias("exact"), F.greatest(F.length("x_core"), F.length("y_core")).alias("letters"), F.least("x_named", "y_named").alias("named"))
+    found = cut(found.where((F.col("letters") > short) | (F.col("named") == 1)).select("weak", "strong", "exact"), "name-links-found")
+    rivals = found.groupBy("weak").agg(F.count("*").alias("rivals"))
+    return found.join(rivals, "weak").where("exact or rivals = 1").select("weak", "strong")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(cluster, root)`` of every linked cluster: the smallest name in its component, handed on and shortened until
+    nothing moves."""
     both = links.select(F.col("weak").alias("cluster"), F.col("strong").alias("other"))
     edges = cut(both.union(both.select("other", "cluster")).distinct(), "name-links")
     at = edges.groupBy("cluster").agg(F.min("other").alias("root")).withColumn("root", F.least("cluster", "root"))
-    for i in range(rounds):
+    for i in count():
         near = edges.join(at.withColumnRenamed("cluster", "other"), "other").groupBy("cluster").agg(F.min("root").alias("near"))
         step = at.join(near, "cluster").select("cluster", "root", F.least("root", "near").alias("low"))
         far = at.select(F.col("cluster").alias("low"), F.col("root").alias("far"))
@@ -405,11 +458,10 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         step = cut(step.select("cluster", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), f"name-roots-{i}")
         at = step.drop("moved")
         if not step.where("moved").limit(1).count():
-            break
-    return at
+            return at
 
 
-def entities(spans: DataFrame, min_suffix: int = 5, common: int = 50, ratio: float = 0.85) -> DataFrame:
+def entities(spans: DataFrame, min_suffix: int = 5, common: int = 50, short: int = 6) -> DataFrame:
     """``(label, text, entity_id)`` for every distinct spelling of a person or company."""
     names = spans.where("label in ('Person', 'Company') and text is not null and trim(text) != ''").select("label", "text").groupBy("label", "text").agg(F.count("*").alias("rows"))
     names = cut(spread(names, "text"), "spellings")
@@ -421,7 +473,7 @@ def entities(spans: DataFrame, min_suffix: int = 5, common: int = 50, ratio: flo
     cluster = F.concat_ws("", "label", "core", "entity")
     resolved = cut(resolved.withColumn("cluster", cluster), "resolved-names")
     clusters = resolved.groupBy("cluster", "label", "core", "entity").agg(F.count("*").alias("forms"), F.sum("forms").alias("weight"))
-    root = components(link(cut(clusters, "name-clusters"), ratio, min_suffix=min_suffix, common=common))
+    root = components(link(cut(clusters, "name-clusters"), short, min_suffix=min_suffix, common=common))
     final = resolved.join(root, "cluster", "left").select("label", "core", "part", "part2", "legal", F.md5(F.coalesce("root", "cluster")).alias("entity_id"))
     return parsed.join(final, ["label", "core", "part", "part2", "legal"]).select("label", "text", "entity_id")
 

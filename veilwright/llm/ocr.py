@@ -6,10 +6,13 @@
 2. *Hyphen evidence.* A word cut at a line's end is joined if the joined word occurs more often elsewhere than the
    hyphenated compound; counts come from all pages of all files.
 3. *Anagram hashing.* Every word has a hash that is the sum of its characters' hashes, so a confusion such as
-   ``rn`` for ``m`` shifts it by a constant. Rare words are joined in SQL with frequent ones whose hash differs by one
-   or two known confusions; a candidate counts if the confusions really turn one word into the other and it is at
-   least ``ratio`` times as frequent. Corrections are ranked by the number of confusions, then by frequency.
-   Numbers with letters in them are joined with frequent numbers by what a digit may be read as.
+   ``rn`` for ``m`` shifts it by a constant. Rare words are joined in SQL with frequent ones whose hash differs by up to
+   three known confusions: frequent words, the fewer ones, stand under their shifts by none, one or two, rare words look
+   for theirs by none or one. A candidate counts if the confusions really turn one word into the other, at most one for
+   every two letters beyond the second, and it is at least ``ratio`` times as frequent. Words on pages that were read with
+   low ``confidence`` count less, so a form that stands on bad pages only is corrected on less evidence. Corrections are
+   ranked by the number of confusions, then by frequency. ``confusions`` lists what may be read as what. Numbers with
+   letters in them are joined with frequent numbers by what a digit may be read as.
 4. *Without a frequent form.* A misread number or a word with a stray sign that the join leaves is turned back
    character by character; labels such as ``12b`` and words with more letters than digits stay as they were read.
 
@@ -35,8 +38,8 @@ CONFUSIONS = "a>@ l>1 i>1 e>c n>ri k>lc t>† m>rn ı>l i>l d>cl u>ii y>v o>0 z>
 DIGITS = {"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "ı": "1", "z": "2", "Z": "2", "S": "5", "s": "5", "B": "8", "b": "6", "g": "9"}
 PAGE_WORDS = ("sayfa", "sf", "s", "syf", "page", "p", "pg", "seite", "no")
 
-LINE = "file_id long, page_number int, line_no int, is_ocr boolean, kind string, text string"
-TOKEN = "file_id long, page_number int, line_no int, token_no int, is_ocr boolean, raw string, key string, compound string, cut int, sure boolean"
+LINE = "file_id long, page_number int, line_no int, is_ocr boolean, weight double, kind string, text string"
+TOKEN = "file_id long, page_number int, line_no int, token_no int, is_ocr boolean, weight double, raw string, key string, compound string, cut int, sure boolean"
 
 _EDGE = " .,;:!?()\"'[]{}“”‘’…"
 _HYPHEN = re.compile(r"(?<=\w)([-‐‑¬­])\s*$")
@@ -160,6 +163,11 @@ def edge_kinds(pages: list[tuple[int, list[str]]], depth: int = 3) -> dict[tuple
     return kinds
 
 
+def page_weight(confidence: float | None) -> float:
+    """What a word of a page counts: its confidence in hundredths, at least 0.3; 1 where it is not known."""
+    return 1.0 if confidence is None or not 0 <= confidence <= 100 else max(0.3, confidence / 100)
+
+
 def page_lines(df: DataFrame) -> DataFrame:
     """Every line of every page with its kind: ``text``, ``running_line`` or ``page_number``."""
 
@@ -167,14 +175,14 @@ def page_lines(df: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for file_id, pages in zip(pdf["file_id"], pdf["pages"]):
-                split = [(p["page_number"] if p["page_number"] is not None else n, p["text"].split("\n"), p["extract_method"]) for n, p in enumerate(pages, 1) if p is not None and p["text"] is not None]
-                kinds = edge_kinds([(n, lines) for n, lines, _ in split])
-                for i, (n, lines, method) in enumerate(split):
-                    rows += [(file_id, n, k + 1, method == "ocr", kinds.get((i, k), "text"), line) for k, line in enumerate(lines)]
+                split = [(p["page_number"] if p["page_number"] is not None else n, p["text"].split("\n"), p["extract_method"], page_weight(p["confidence"])) for n, p in enumerate(pages, 1) if p is not None and p["text"] is not None]
+                kinds = edge_kinds([(n, lines) for n, lines, *_ in split])
+                for i, (n, lines, method, weight) in enumerate(split):
+                    rows += [(file_id, n, k + 1, method == "ocr", weight, kinds.get((i, k), "text"), line) for k, line in enumerate(lines)]
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
 
-    once = df.select(F.col("file_id").cast("long").alias("file_id"), F.transform("pages", lambda p: F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text"), p["extract_method"].alias("extract_method"))).alias("pages"))
+    once = df.select(F.col("file_id").cast("long").alias("file_id"), F.transform("pages", lambda p: F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text"), p["extract_method"].alias("extract_method"), p["confidence"].cast("double").alias("confidence"))).alias("pages"))
     once = once.where("file_id is not null and pages is not null")
     return spread(once, "file_id").dropDuplicates(["file_id"]).mapInPandas(run, LINE)
 
@@ -201,9 +209,9 @@ def tokens(lines: DataFrame) -> DataFrame:
                         head, tail = raw[: hyphen.start()].lstrip(_EDGE), rest[0].rstrip(_EDGE)
                         sure = hyphen.group(1) in "¬­"
                         compound = None if sure else lower(head + "-" + tail)
-                        rows.append((r.file_id, r.page_number, r.line_no, k, r.is_ocr, raw[: hyphen.start()] + rest[0], lower(head + tail), compound, len(head), sure))
+                        rows.append((r.file_id, r.page_number, r.line_no, k, r.is_ocr, r.weight, raw[: hyphen.start()] + rest[0], lower(head + tail), compound, len(head), sure))
                     elif word:
-                        rows.append((r.file_id, r.page_number, r.line_no, k, r.is_ocr, raw, lower(word), None, None, False))
+                        rows.append((r.file_id, r.page_number, r.line_no, k, r.is_ocr, r.weight, raw, lower(word), None, None, False))
             if rows:
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in TOKEN.split(", ")])
                 out["cut"] = out["cut"].astype("Int32")
@@ -213,14 +221,15 @@ def tokens(lines: DataFrame) -> DataFrame:
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """How often each word stands uncut on any page."""
-    return words.where("cut is null").groupBy("key").agg(F.count("*").alias("n"))
+    """How often each word stands uncut on any page, and that weighed by the pages' confidence."""
+    return words.where("cut is null").groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
 
 
 def resolve_cuts(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Hyphen evidence for cut words: ``joined`` true, false or null where neither form is known."""
     cuts = words.where("cut is not null")
     forms = cuts.select("key", "compound", "sure").distinct()
+    vocab = vocab.select("key", "n")
     forms = forms.join(vocab.withColumnRenamed("n", "n_word"), "key", "left")
     forms = forms.join(vocab.select(F.col("key").alias("compound"), F.col("n").alias("n_compound")), "compound", "left").fillna(0, ["n_word", "n_compound"])
     number = F.coalesce(F.col("compound").rlike(r"^\d+-\d"), F.lit(False))
@@ -234,9 +243,9 @@ def _anagram(word: Column) -> Column:
     return F.aggregate(F.transform(chars, lambda c: F.shiftright(F.xxhash64(c), 14)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def turns_into(word: str, seen: str, most: int = 3) -> int | None:
+def turns_into(word: str, seen: str, most: int = 3, confusions: list[tuple[str, str]] = _PAIRS) -> int | None:
     """Number of confusions that turn ``word`` into ``seen``; None if they cannot."""
-    pairs = _PAIRS if any(c.isalpha() for c in word) else _DIGIT_PAIRS
+    pairs = confusions if any(c.isalpha() for c in word) else _DIGIT_PAIRS
     best: dict[tuple[int, int], int] = {(0, 0): 0}
     for i in range(len(word) + 1):
         for j in range(len(seen) + 1):
@@ -252,35 +261,42 @@ def turns_into(word: str, seen: str, most: int = 3) -> int | None:
     return best.get((len(word), len(seen)))
 
 
-def _shifts(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    """One row with the hash shifts of one or two confusions."""
-    single = spark.createDataFrame(pairs, "a string, b string").select((_anagram(F.col("b")) - _anagram(F.col("a"))).alias("d")).distinct()
-    double = single.alias("x").join(single.alias("y"), F.col("x.d") <= F.col("y.d")).select((F.col("x.d") + F.col("y.d")).alias("d"))
-    return single.union(double).distinct().agg(F.collect_list("d").alias("shifts"))
+def _shifts(spark: SparkSession, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """One row each with the hash shifts of at most one, and of at most two confusions."""
+    single = spark.createDataFrame([*pairs, ("", "")], "a string, b string").select((_anagram(F.col("b")) - _anagram(F.col("a"))).alias("d")).distinct()
+    double = single.alias("x").join(single.alias("y"), F.col("x.d") <= F.col("y.d")).select((F.col("x.d") + F.col("y.d")).alias("d"))  # about 25 by 25
+    row = lambda df: df.distinct().agg(F.collect_list("d").alias("shifts"))
+    return row(single), row(double)
 
 
-def corrections(vocab: DataFrame, ratio: int = 10) -> DataFrame:
-    """Ranked corrections ``(key, correct, confusions)`` of misread words, one per word."""
+def corrections(vocab: DataFrame, ratio: int = 10, confusions: str = CONFUSIONS) -> DataFrame:
+    """Ranked corrections ``(key, correct, confusions)`` of misread words ``vocab(key, n, w)``, one per word."""
     spark = vocab.sparkSession
+    pairs = [tuple(c.split(">")) for c in confusions.split()]
     hashed = cut(vocab.where("length(key) > 1").withColumn("h", _anagram(F.col("key"))), "anagrams")
     number = F.col("key").rlike(_NUMBER) & ~F.col("key").rlike(_LABEL)
-
-    def probed(words: DataFrame, pairs: list[tuple[str, str]], digits: bool) -> DataFrame:
-        """Words with every hash that their right form may have; ``digits`` tells whether that is a number."""
-        out = words.join(F.broadcast(_shifts(spark, pairs))).select("key", "n", F.explode("shifts").alias("d"), "h")
-        return out.select("key", "n", (F.col("h") - F.col("d")).alias("h"), F.lit(digits).alias("digits"))
-
-    probes = probed(hashed, _PAIRS, False).unionByName(probed(hashed.where(number), _DIGIT_PAIRS, True))  # about 250 and 50 shifts
-    frequent = hashed.where(~number).select(F.col("key").alias("correct"), F.col("n").alias("m"), "h", F.col("key").rlike(r"^[\d.,/-]+$").alias("digits")).where(F.col("m") >= ratio)
-    met = probes.join(frequent, ["h", "digits"]).where((F.col("m") >= ratio * F.col("n")) & (F.col("correct") != F.col("key")))
+    digits = F.col("key").rlike(r"^[\d.,/-]+$")
+    frequent = hashed.where(~number & (F.col("n") >= ratio)).select(F.col("key").alias("correct"), "h", F.col("n").alias("m"), F.col("w").alias("mw"), digits.alias("digits"))
+    rare = hashed.select("key", "h", "w", number.alias("number"))
+    most = frequent.agg(F.max("mw").alias("top"))  # one row
+    rare = rare.join(F.broadcast(most), F.col("w") * ratio <= F.col("top")).drop("top")
+
+    def met(kind: bool, shifts: tuple[DataFrame, DataFrame]) -> DataFrame:
+        few, many = (F.broadcast(x) for x in shifts)  # one row each
+        right = frequent.where("digits") if kind else frequent
+        right = right.join(many).select("correct", "m", "mw", "h", F.explode("shifts").alias("d")).select("correct", "m", "mw", (F.col("h") + F.col("d")).alias("h"))
+        wrong = rare.where("number") if kind else rare
+        wrong = wrong.join(few).select("key", "w", "h", F.explode("shifts").alias("d")).select("key", "w", (F.col("h") - F.col("d")).alias("h"))
+        return wrong.join(right, "h").where((F.col("mw") >= ratio * F.col("w")) & (F.col("correct") != F.col("key"))).select("key", "correct", "m")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            k = [turns_into(c, s) for c, s in zip(pdf["correct"], pdf["key"])]
+            k = [turns_into(c, s, min(3, max(2, len(c) // 2)), pairs) for c, s in zip(pdf["correct"], pdf["key"])]
             out = pdf.assign(confusions=pd.array(k, dtype="Int32"))
             yield out[out["confusions"].notna()][["key", "correct", "m", "confusions"]]
 
-    good = met.select("key", "correct", "m").distinct().mapInPandas(check, "key string, correct string, m long, confusions int")
+    both = met(False, _shifts(spark, pairs)).unionByName(met(True, _shifts(spark, _DIGIT_PAIRS)))
+    good = both.distinct().mapInPandas(check, "key string, correct string, m long, confusions int")
     best = good.groupBy("key").agg(F.min(F.struct("confusions", (-F.col("m")).alias("m"), "correct")).alias("b"))
     return best.select("key", F.col("b.correct").alias("correct"), F.col("b.confusions").alias("confusions"))
 
@@ -295,15 +311,15 @@ _LABEL = r"(?:^|[.,/-])(?:\d{1,2}[bls]|[bis]\d{1,2}|[bisz]+)(?:$|[.,/-])"
 class Repair:
     """The steps over a table of documents; intermediate results are written once and shared."""
 
-    def __init__(self, documents: DataFrame, ratio: int = 10):
+    def __init__(self, documents: DataFrame, ratio: int = 10, confusions: str = CONFUSIONS):
         self.lines = cut(page_lines(documents), "page-lines")
         self.words = cut(tokens(self.lines), "page-words")
         vocab = cut(vocabulary(self.words), "vocabulary")
         cuts = resolve_cuts(self.words, vocab)
         unknown = cuts.where("joined is null")
         unknown = unknown.select("key").union(unknown.select("compound")).where("key is not null").distinct().join(vocab, "key", "left_anti")
-        counted = vocab.unionByName(unknown.withColumn("n", F.lit(1).cast("long")))
-        self.fixes = cut(corrections(counted, ratio), "corrections")
+        counted = vocab.unionByName(unknown.select("key", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("w")))
+        self.fixes = cut(corrections(counted, ratio, confusions), "corrections")
         known = self.fixes.select("key", F.lit(True).alias("word_fixed"))
         other = self.fixes.select(F.col("key").alias("compound"), F.lit(True).alias("compound_fixed"))
         decided = cuts.join(known, "key", "left").join(other, "compound", "left")

@@ -3,13 +3,19 @@
 Detection runs over the whole text once per kind, strongest first, and a later kind never overlaps an earlier one:
 e-mail addresses, account numbers (found only to be left alone), street addresses, identity numbers (with check
 digits where they have them), phone numbers, persons. Persons are recognised by the shape of a name around a known
-given name or an initial, or by a cue such as a title or a form field next to a name's shape.
+given name or an initial, by a cue such as a title or a form field next to a name's shape, and by a
+:class:`NameModel`: a logistic regression over the letters, the shape, the place and the neighbours of capitalised
+words, which knows no list. It is fitted on at most ``sample`` runs of capitalised words of the texts, those with the
+smallest hashes, labelled by the rules before it; it looks at what the rules leave.
 
 Replacement keeps all other characters. A placeholder carries the type and a number that is the same for the same
-entity within a document. A surrogate is drawn by a keyed hash of the entity: a person gets given names of the same
+entity within a document; an initial or a lone name that several people of the document share is an entity of its own.
+A surrogate is drawn by a keyed hash of the entity: a person gets given names of the same
 gender and a surname in the same script, letter case and order; numbers keep their format and valid check digits.
-Surrogates that collide within a document, with each other or with its text, are drawn again with the next counter,
-and from the hundredth counter on they are longer than the pools' names, so different entities stay different and mentions of one entity stay together.
+Surrogates that collide within a document, with each other or with its text, are drawn again with the next counter;
+from the third draw on surnames are made of syllables, more of them the further it goes, so any number of entities stay
+different in linear time, and mentions of one entity stay together. Distinctness holds within a document; across
+documents the same entity gets the same first draw.
 
 Defined results: null gives no spans and stays null; empty and very long texts are processed whole; offsets are
 0-based code points, the end exclusive; a record that comes twice counts once; extra columns are ignored.
@@ -17,13 +23,17 @@ Defined results: null gives no spans and stays null; empty and very long texts a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import itertools
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +44,8 @@ SPAN = "pii_type string, start_pos int, end_pos int"
 FEMALE = "Anna Aylin Ayşe Bahar Buse Ceren Çağla Clara Defne Derya Ebru Elif Emily Emine Emma Esra Fatma Gizem Grace Gülşen Hanna Hatice Ida Ilgaz Işıl İlknur Julia Lena Lisa Maria Mary Melek Melis Meryem Mia Nehir Nora Nurcan Özge Pelin Petra Ruth Sarah Selin Sevgi Sibel Sofia Sophie Şule Tülay Ülkü Yasemin Zehra Zeynep"
 MALE = "Ahmet Ali Arda Barış Burak Can Cem Çetin Daniel David Deniz Edgar Emre Erkan Fatih Felix Ferhat Furkan Hakan Halil Hans Hasan Henry Hüseyin İbrahim İsmail Jack James John Kaan Kadir Karl Kemal Kerem Leon Levent Lukas Mark Martin Mehmet Mert Michael Murat Mustafa Oğuz Oliver Onur Orhan Osman Ömer Paul Peter Ramazan Rıza Robert Selim Serkan Simon Stefan Süleyman Şaban Thomas Tolga Toprak Uğur Umut Ümit Volkan Yusuf"
 SURNAMES = "Akarsoy Alkan Belligil Canoğlu Dalgıç Erdemli Göksel Hansoy İnceman Kayabay Korman Lerntaş Merttepe Narlı Odabay Pekgil Rençber Sarıgil Tanman Uzunsoy Varol Yelkan Zorbay Brandt Keller Marlow Thorne Whitby Ashdown"
+#: Parts of made surnames.
+SYLLABLES = "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo"
 TOWNS = "Akpınar Bozova Çamlıbel Dereköy Esentepe Gölyaka Kızılca Sazlı"
 
 _LOWER, _UPPER = "a-zçğıöşüäßâîû", "A-ZÇĞİÖŞÜÄÂÎÛ"
@@ -114,11 +126,14 @@ _ADDRESS = [
 ]
 _TC = re.compile(r"(?<![\w./\-])(?:\d{11}|\d{3} \d{3} \d{3} \d{2}|\d{5}-\d{6}|\d{3}-\d{3}-\d{3}-\d{2}|\d{3}\.\d{3}\.\d{3}\.\d{2})(?![\w/\-]|[.,]\d)")
 _ID_OTHER = re.compile(r"(?<![\w\-/])(?:[A-Z]{1,2}\d{7,8}|[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}|\d{3}-\d{2}-\d{4})(?![\w\-/])")
+#: Nine bare digits are a person's number only behind a word that says so.
+_ID_CUED = re.compile(r"(?:\bSSN|[Ss]ocial [Ss]ecurity|[Pp]assport|[Pp]asaport|\b[Rr]eisepass|\b[Pp]ass)(?: ?(?:[Nn]umber|[Nn]umarası|[Nn]ummer|[Nn]o|[Nn]r|[Nn]um)\.?)? ?[:#]? ?(?:is )?(?P<id>\d{9})(?![\w/\-]|[.,]\d)")
 _NOT_ID = re.compile(r"(?:takip|kargo|sipariş|fatura|vergi|hesap|iban|dosya|parcel|invoice|tracking|rechnung|steuer)[^\n]{0,16}$", re.I)
 _PHONE = [
     re.compile(r"(?<![\w+/.,\-(])(?:(?:\+|00)90[ .\-]?|0[ .\-]?)?\(?0?[2-5]\d{2}\)?[ .\-]?\d{3}[ .\-]?\d{2}[ .\-]?\d{2}(?![\w/\-]|[.,]\d)"),
     re.compile(r"(?<![\w+])(?:\+|00)[1-9]\d{0,2}(?:[ .\-]?\(?\d{1,7}\)?){1,5}(?![\w/\-]|[.,]\d)"),
     re.compile(r"(?<![\w+/.,\-])\(\d{3}\) \d{3}[ \-]\d{4}(?![\w/\-])"),
+    re.compile(r"(?<![\w+/.,\-])(?:\(0\d{2,4}\)|0\d{2,4}) \d{3,4} \d{3,4}(?![\w/\-]| ?\d)"),
 ]
 _NOT_PHONE = re.compile(r"(?:vergi|takip|sipariş|fatura|hesap|iban|tax|invoice)[^\n]{0,12}$", re.I)
 
@@ -134,16 +149,35 @@ def tc_valid(digits: str) -> bool:
     return len(d) == 11 and d[0] != 0 and d[9] == (7 * sum(d[0:9:2]) - sum(d[1:8:2])) % 10 and d[10] == sum(d[:10]) % 10
 
 
-def detect(text: str) -> list[Found]:
+class _Taken:
+    """Intervals that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def detect(text: str, model: NameModel | None = None) -> list[Found]:
     """Every occurrence, in order of place."""
-    taken: list[tuple[int, int]] = []
-    out: list[Found] = []
+    return sorted(_found(text, model)[0], key=lambda f: f.start)
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+
+def _found(text: str, model: NameModel | None = None) -> tuple[list[Found], _Taken]:
+    taken = _Taken()
+    out: list[Found] = []
+    free = taken.free
 
     def add(kind: str, a: int, b: int) -> None:
-        taken.append((a, b))
+        taken.add(a, b)
         if kind:
             out.append(Found(kind, a, b))
 
@@ -163,6 +197,9 @@ def detect(text: str) -> list[Found]:
     for m in _ID_OTHER.finditer(text):
         if free(*m.span()) and not _NOT_ID.search(text, max(0, m.start() - 30), m.start()):
             add("ID_NUMBER", *m.span())
+    for m in _ID_CUED.finditer(text):
+        if free(*m.span("id")):
+            add("ID_NUMBER", *m.span("id"))
     for p in _PHONE:
         for m in p.finditer(text):
             digits = re.sub(r"\D", "", m.group())
@@ -176,7 +213,148 @@ def detect(text: str) -> list[Found]:
             at = max(m.start() + 1, b if _is_name(text, m) and free(a, b) else m.start() + 1)
             if at == b:
                 add("PERSON", a, b)
-    return sorted(out, key=lambda f: f.start)
+    if model is not None and len(model.weights):
+        runs = [(a, b) for a, b in name_runs(text, model.common) if free(a, b) and not _ruled_out(text, a, b)]
+        for (a, b), p in zip(runs, model.probabilities([features(text, a, b) for a, b in runs])):
+            if p >= model.threshold and free(a, b):
+                add("PERSON", a, b)
+    return out, taken
+
+
+# -- names by letters, place and neighbours
+
+_CAPITAL = r"[^\W\d_a-z]['’]?[^\W\d_]+(?:-[^\W\d_]{2,})?"
+#: Two or three capitalised words in one line, or a surname, a comma and given names.
+_RUN = re.compile(rf"(?<![\w@.+\-'’]){_CAPITAL}(?:(?: (?:[^\W\d_a-z]\.|{_CAPITAL})){{1,2}}|, {_CAPITAL}(?: {_CAPITAL})?)(?![\w@])")
+_SIZE = 1 << 15
+
+
+def name_runs(text: str, common: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Runs of capitalised words without words at their ends that are common in small letters."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        words = m.group().split()
+        while words and lower_tr(words[0].rstrip(".,")) in common:
+            a += len(words[0]) + 1
+            words = words[1:]
+        while words and lower_tr(words[-1].rstrip(".,")) in common:
+            b -= len(words[-1]) + 1
+            words = words[:-1]
+        if len(words) > 2 and not words[0].endswith(",") and (a == 0 or re.search(r"(?:^|[.!?\n] ?)$", text[max(0, a - 2) : a])) and "," not in m.group():
+            a += len(words[0]) + 1  # the first word of a sentence has a capital anyway
+            words = words[1:]
+        if len(words) > 1 and all(w[0].isupper() for w in words) and text[b - 1] != ",":
+            yield a, b
+
+
+def _ruled_out(text: str, a: int, b: int) -> bool:
+    """Runs that no name is: words of addresses and firms in or behind them."""
+    if any(lower_tr(w.rstrip(".,")) in _NO_NAME for w in text[a:b].split()):
+        return True
+    after = text[b : b + 60]
+    return bool(_STREET.match(after.lstrip(" ")) or _FIRM.match(after) or re.match(r" ?[:=|]", after))
+
+
+def features(text: str, a: int, b: int) -> np.ndarray:
+    """Hashed features of the run ``text[a:b]``: letters of its words, shapes, neighbours, place."""
+    words = text[a:b].split()
+    before = re.findall(r"\w+|[^\w\s]|\n", text[max(0, a - 40) : a])[-2:]
+    after = re.findall(r"['’]\w*|\w+|[^\w\s]|\n", text[b : b + 40])[:2]
+    start = not before or before[-1] in "\n.!?"
+    out = [f"n{len(words)}", f"comma{words[0].endswith(chr(44))}", f"start{start}", f"line{not before or before[-1] == chr(10)}"]
+    for i, w in enumerate(words):
+        side = "first" if i == 0 else "last" if i == len(words) - 1 else "mid"
+        out += [f"{side}len{min(len(w), 12) // 3}", f"{side}{'initial' if w.endswith('.') else 'upper' if w.isupper() else 'title' if w[1:].islower() else 'mixed'}"]
+    out += [f"b{i}{fold(w)}" for i, w in enumerate(before[::-1])] + [f"a{i}{fold(w)}" for i, w in enumerate(after)]
+    out.append(f"around{fold(before[-1]) if before else '^'}|{fold(after[0]) if after else '$'}")
+    return np.unique(np.array([zlib.crc32(x.encode()) % _SIZE for x in out], dtype=np.int32))
+
+
+class NameModel:
+    """Logistic regression over hashed features; without weights it finds nothing. ``common`` are words in small letters."""
+
+    def __init__(self, weights: np.ndarray | None = None, threshold: float = 0.6, common: frozenset[str] = frozenset()):
+        self.weights = np.zeros(0) if weights is None else weights
+        self.threshold, self.common = threshold, common
+
+    def probabilities(self, rows: list[np.ndarray]) -> list[float]:
+        return [float(1 / (1 + np.exp(-np.clip(self.weights[r].sum() + self.weights[-1], -30, 30)))) for r in rows]
+
+    @classmethod
+    def train(cls, rows: list[np.ndarray], labels: list[bool], threshold: float = 0.6, common: frozenset[str] = frozenset(), rounds: int = 8, rate: float = 0.3, decay: float = 1e-3, unknown: float = 0.25) -> NameModel:
+        """Stochastic gradient steps with a rate per weight, in the order of ``rows``.
+
+        A run that no rule names may be a name all the same, so it counts only ``unknown``.
+        """
+        if not any(labels) or all(labels):
+            return cls(None, threshold, common)
+        w = np.zeros(_SIZE + 1)
+        squares = np.full(_SIZE + 1, 1e-6)
+        rows = [np.append(r, _SIZE) for r in rows]
+        for _ in range(rounds):
+            for r, y in zip(rows, labels):
+                p = 1 / (1 + np.exp(-np.clip(w[r].sum(), -30, 30)))
+                g = (p - y) * (1.0 if y else unknown) + decay * w[r]
+                squares[r] += g * g
+                w[r] -= rate * g / np.sqrt(squares[r])
+        return cls(w, threshold, common)
+
+
+def labelled_runs(text: str, common: frozenset[str] = frozenset()) -> list[tuple[np.ndarray, bool]]:
+    """Runs of capitalised words that the rules call a name, or that touch nothing they found."""
+    found, taken = _found(text)
+    people = {(f.start, f.end) for f in found if f.kind == "PERSON"}
+    out = []
+    for a, b in name_runs(text, common):
+        name = (a, b) in people
+        if name or taken.free(a, b) and not _ruled_out(text, a, b):
+            out.append((features(text, a, b), name))
+    return out
+
+
+_ANY = re.compile(r"[^\W\d_]{2,}")
+
+
+def small_words(text: str) -> Counter:
+    """Words of a text: 1 for those it has in small letters only, -1 for those with a capital."""
+    seen: dict[str, int] = {}
+    for w in set(_ANY.findall(text)):
+        if w.islower():
+            seen.setdefault(w, 1)
+        else:
+            seen[lower_tr(w)] = -1
+    return Counter(seen)
+
+
+def common_words(df: DataFrame, text: str, most: int = 5000) -> frozenset[str]:
+    """Words that more texts have in small letters than with a capital, at most ``most`` of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter = Counter()
+            for t in pdf["t"]:
+                seen.update(small_words(t))
+            if seen:
+                yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
+
+    rows = df.select(F.col(text).alias("t")).where("t is not null and t != ''").mapInPandas(run, "w string, n long")
+    top = rows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most)
+    return frozenset(r["w"] for r in top.collect())
+
+
+def fit_names(df: DataFrame, text: str, sample: int = 20_000, threshold: float = 0.6) -> NameModel:
+    """A model fitted on at most ``sample`` runs of the texts, those whose features have the smallest hashes."""
+    common = common_words(df, text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f.tolist(), y) for t in pdf["t"] for f, y in labelled_runs(t, common)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["f", "y"])
+
+    rows = df.select(F.col(text).alias("t")).where("t is not null and t != ''").mapInPandas(run, "f array<int>, y boolean").distinct()
+    kept = rows.orderBy(F.xxhash64("f", "y"), "f", "y").limit(sample).collect()
+    return NameModel.train([np.array(r["f"], dtype=np.int32) for r in kept], [r["y"] for r in kept], threshold, common)
 
 
 def _is_name(text: str, m: re.Match) -> bool:
@@ -204,19 +382,26 @@ class _Entities:
 
     def __init__(self, text: str, found: list[Found]):
         self.keys: list[str] = []
-        people = [f for f in found if f.kind == "PERSON"]
-        full: dict[str, str] = {}
-        for f in people:
-            given, sur = _name_parts(text[f.start : f.end])
-            if sur and given and len(given[0]) > 1:
-                full.setdefault(fold(sur), fold(" ".join([given[0], sur])))
+        by_surname: dict[str, set[str]] = {}
+        by_given: dict[str, set[str]] = {}
+        for f in found:
+            if f.kind == "PERSON":
+                given, sur = _name_parts(text[f.start : f.end])
+                if sur and given and len(given[0]) > 1:
+                    whole = fold(f"{given[0]} {sur}")
+                    by_surname.setdefault(fold(sur), set()).add(whole)
+                    by_given.setdefault(fold(given[0]), set()).add(whole)
         for f in found:
             t = text[f.start : f.end]
             if f.kind == "PERSON":
                 given, sur = _name_parts(t)
-                key = full.get(fold(sur), fold(sur)) if sur else next((v for v in full.values() if v.startswith(fold(given[0]) + " ")), fold(given[0]))
                 if sur and given and len(given[0]) > 1:
                     key = fold(f"{given[0]} {sur}")
+                else:  # an initial with a surname, or a lone name: the only person it may be, else one of its own
+                    own = fold(" ".join([*given[:1], sur]).strip())
+                    fits = by_surname.get(fold(sur), set()) if sur else by_given.get(own, set())
+                    fits = {w for w in fits if w.startswith(fold(given[0]))} if sur and given else fits
+                    key = next(iter(fits)) if len(fits) == 1 else own if sur and not given or not sur else f"{own} ?"
             elif f.kind == "EMAIL":
                 key = re.sub(r"\s?[(\[]\s?(?:nokta|dot|punkt)\s?[)\]]\s?", ".", re.sub(r"\s?[(\[]\s?at\s?[)\]]\s?| @ ", "@", t)).lower()
             elif f.kind == "PHONE":
@@ -239,20 +424,32 @@ def _name_parts(name: str) -> tuple[list[str], str]:
     return words[:-1], words[-1]
 
 
-def placeholders(text: str, found: list[Found] | None = None) -> str:
-    """Text with each occurrence replaced by ``[TYPE_n]``."""
-    found = detect(text) if found is None else found
+def marks(text: str, found: list[Found]) -> list[str]:
+    """``[TYPE_n]`` for each occurrence, with one number per entity."""
     number: dict[str, int] = {}
     per: dict[str, int] = {}
-    out, at = [], 0
+    out = []
     for f, key in zip(found, _Entities(text, found).keys):
         if key not in number:
             number[key] = per[f.kind] = per.get(f.kind, 0) + 1
-        out += [text[at : f.start], f"[{f.kind}_{number[key]}]"]
+        out.append(f"[{f.kind}_{number[key]}]")
+    return out
+
+
+def _put(text: str, found: list[Found], new: list[str]) -> str:
+    out, at = [], 0
+    for f, t in zip(found, new):
+        out += [text[at : f.start], t]
         at = f.end
     return "".join([*out, text[at:]])
 
 
+def placeholders(text: str, found: list[Found] | None = None) -> str:
+    """Text with each occurrence replaced by ``[TYPE_n]``."""
+    found = detect(text) if found is None else found
+    return _put(text, found, marks(text, found))
+
+
 def _draw(key: bytes, entity: str, n: int) -> Iterator[int]:
     """Endless bytes that depend on the secret, the entity and the counter."""
     block = 0
@@ -269,15 +466,17 @@ def _cased(like: str, word: str) -> str:
 
 def _surrogate(kind: str, text: str, key: bytes, entity: str, n: int) -> str:
     rnd = _draw(key, entity, n)
-    more = n // 100  # the pools may be used up: names, local parts and house numbers get longer
+    more = n // 4  # forms may be used up: local parts and house numbers get longer
     pick = lambda seq: seq[(next(rnd) << 8 | next(rnd)) % len(seq)]
     if kind == "PERSON":
         given, sur = _name_parts(text)
         words = re.split(r"([^\W\d_]+)", text)
-        new_sur = "-".join(pick(SURNAMES.split()) for _ in range(1 + more))
+        new_sur = pick(SURNAMES.split()) if n < 2 else "".join(pick(SYLLABLES.split()) for _ in range(3 + more)).capitalize()
         new_given = {}
-        for g in entity.partition(":")[2].split()[:-1] or [fold(x) for x in given]:
-            new_given[g] = "-".join(pick((FEMALE if _GENDER.get(g) == "f" else MALE).split()) for _ in range(1 + more))
+        for g in [x for x in entity.partition(":")[2].split()[:-1] if x != "?"] or [fold(x) for x in given]:
+            new_given[g] = pick((FEMALE if _GENDER.get(g) == "f" else MALE).split())
+            if not sur and n > 1:
+                new_given[g] += "".join(pick(SYLLABLES.split()) for _ in range(2 + more))
         spare = iter([*new_given.values(), *(pick(MALE.split()) for _ in range(3))])
         out = []
         for w in words:
@@ -329,50 +528,55 @@ def _surrogate(kind: str, text: str, key: bytes, entity: str, n: int) -> str:
 _WORD = re.compile(r"\w+(?:-\w+)*")
 
 
-def surrogates(text: str, secret: bytes, found: list[Found] | None = None) -> str:
-    """Text with each occurrence replaced by a keyed surrogate of its type and format."""
-    found = detect(text) if found is None else found
+def drawn(text: str, secret: bytes, found: list[Found]) -> list[str]:
+    """A keyed surrogate of its type and format for each occurrence."""
     keys = _Entities(text, found).keys
     forms: dict[str, dict[tuple[str, str], None]] = {}
     for f, k in zip(found, keys):
         forms.setdefault(k, {})[f.kind, text[f.start : f.end]] = None
-    counter: dict[str, int] = {}
+    made_of: dict[tuple[str, str, str], str] = {}
     owned: set[str] = set()
     whole = fold(text)
     words = set(_WORD.findall(whole))
     for k, seen in forms.items():
         for n in itertools.count():
-            made = {(kind, fold(_surrogate(kind, t, secret, k, n))) for kind, t in seen}
-            if not any(m in owned or (words & {w for w in _WORD.findall(m) if len(w) > 1} if kind == "PERSON" else m in whole) for kind, m in made):
-                counter[k] = n
-                owned |= {m for _, m in made}
+            made = {x: _surrogate(*x, secret, k, n) for x in seen}
+            plain = {(kind, fold(m)) for (kind, _), m in made.items()}
+            if not any(m in owned or (words & {w for w in _WORD.findall(m) if len(w) > 1} if kind == "PERSON" else m in whole) for kind, m in plain):
+                made_of |= {(k, *x): m for x, m in made.items()}
+                owned |= {m for _, m in plain}
                 break
-    out, at = [], 0
-    for f, k in zip(found, keys):
-        out += [text[at : f.start], _surrogate(f.kind, text[f.start : f.end], secret, k, counter[k])]
-        at = f.end
-    return "".join([*out, text[at:]])
+    return [made_of[k, f.kind, text[f.start : f.end]] for f, k in zip(found, keys)]
+
+
+def surrogates(text: str, secret: bytes, found: list[Found] | None = None) -> str:
+    """Text with each occurrence replaced by a keyed surrogate of its type and format."""
+    found = detect(text) if found is None else found
+    return _put(text, found, drawn(text, secret, found))
 
 
 # -- tables
 
 
-def detect_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row per occurrence, with ``keys``."""
+def replace_table(df: DataFrame, keys: list[str], text: str, secret: str, model: NameModel | None = None) -> DataFrame:
+    """One row per occurrence with ``keys``, its place, its placeholder and its surrogate."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    names = [*keys, "pii_type", "start_pos", "end_pos"]
+    names = [*keys, "pii_type", "start_pos", "end_pos", "placeholder", "surrogate"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(*key, *f) for *key, t in zip(*(pdf[k] for k in keys), pdf["_text"]) for f in detect(t)]
+            rows = []
+            for *key, t in zip(*(pdf[k] for k in keys), pdf["_text"]):
+                found = detect(t, model)
+                rows += [(*key, *f, mark, new) for f, mark, new in zip(found, marks(t, found), drawn(t, secret.encode(), found))]
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return df.select(*keys, F.col(text).alias("_text")).where("_text is not null").mapInPandas(run, f"{head}, {SPAN}")
+    return df.select(*keys, F.col(text).alias("_text")).where("_text is not null").mapInPandas(run, f"{head}, {SPAN}, placeholder string, surrogate string")
 
 
-def mask_table(df: DataFrame, keys: list[str], text: str, secret: str) -> DataFrame:
+def mask_table(df: DataFrame, keys: list[str], text: str, secret: str, model: NameModel | None = None) -> DataFrame:
     """``keys`` with the text in placeholders and in surrogates and the number of occurrences."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
@@ -380,7 +584,7 @@ def mask_table(df: DataFrame, keys: list[str], text: str, secret: str) -> DataFr
         for pdf in batches:
             masked, fresh, n = [], [], []
             for t in pdf["_text"]:
-                found = [] if t is None else detect(t)
+                found = [] if t is None else detect(t, model)
                 masked.append(None if t is None else placeholders(t, found))
                 fresh.append(None if t is None else surrogates(t, secret.encode(), found))
                 n.append(len(found))

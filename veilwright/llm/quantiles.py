@@ -7,8 +7,8 @@ satisfy ``below_hi[j] + 1 - upto_lo[i] <= 2 e n + 1``, so any rank is met within
 with the level of the merge tree (1/2, 3/4, 7/8 ... of ``epsilon``) and never reaches ``epsilon``; the error that
 really accumulated is read off the final summary and reported.
 
-A partition keeps at most ``buffer`` values of a group before it summarises them, and at most ``fan_in`` summaries
-meet in one task, so a group of any size is spread over the tree.
+A partition keeps at most ``buffer`` values of all groups together before it summarises them, and about ``fan_in``
+summaries of a group meet in one task: the depth of the tree follows the largest number of summaries that a group has.
 
 Defined results: null, NaN and infinite values are not measured and do not count; a null group is a group; ties are
 exact; an empty table gives no rows; a group of one value has that value everywhere.
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.runtime import cut
+
 PERCENTILES = (0.01, 0.1, 0.5, 0.9, 0.95, 0.99, 0.999)
 _ARRAYS = ("v", "below_lo", "below_hi", "upto_lo", "upto_hi")
 SUMMARY = "n long, v array<double>, below_lo array<long>, below_hi array<long>, upto_lo array<long>, upto_hi array<long>"
@@ -99,43 +101,35 @@ def _of(r) -> dict:
     return {"n": int(r["n"]), "v": np.asarray(r["v"], dtype=float), **{a: np.asarray(r[a], dtype=np.int64) for a in _ARRAYS[1:]}}
 
 
-def summarise(df: DataFrame, groups: list[str], value: str, epsilon: float = 0.0005, fan_in: int = 64, buffer: int = 500_000) -> DataFrame:
+def summarise(df: DataFrame, groups: list[str], value: str, epsilon: float = 0.0005, fan_in: int = 64, buffer: int = 1_000_000) -> DataFrame:
     """One summary per group: ``groups``, ``level`` and the columns of :data:`SUMMARY`."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     head = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    data = df.select(*groups, F.col(value).cast("double").alias("_v"), F.spark_partition_id().alias("_part"))
+    data = df.select(*groups, F.col(value).cast("double").alias("_v"))
     data = data.where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
+    cols = [*groups, "n", *_ARRAYS]
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
-        sizes: dict[tuple, int] = {}
-        part = 0
+        size = 0
+
+        def flushed() -> pd.DataFrame:
+            rows = [(*key, *_row(compress(leaf(np.concatenate(v)), permitted(epsilon, 0)))) for key, v in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=cols)
+
         for pdf in batches:
-            rows = []
             for key, g in pdf.groupby(groups, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                part = int(g["_part"].iloc[0])
-                held.setdefault(key, []).append(g["_v"].to_numpy())
-                sizes[key] = sizes.get(key, 0) + len(g)
-                if sizes[key] >= buffer:
-                    rows.append((*key, part, *_row(compress(leaf(np.concatenate(held.pop(key))), permitted(epsilon, 0)))))
-                    sizes[key] = 0
-            if rows:
-                yield pd.DataFrame(rows, columns=cols)
-        rows = [(*key, part, *_row(compress(leaf(np.concatenate(v)), permitted(epsilon, 0)))) for key, v in held.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=cols)
+                held.setdefault(tuple(None if pd.isna(k) else k for k in key), []).append(g["_v"].to_numpy())
+            size += len(pdf)
+            if size >= buffer:
+                yield flushed()
+                size = 0
+        if held:
+            yield flushed()
 
-    cols = [*groups, "_part", "n", *_ARRAYS]
-    out = data.mapInPandas(leaves, f"{head}, _part long, {SUMMARY}")
-    parts, level = max(1, data.rdd.getNumPartitions()), 0
-    while True:
-        level += 1
-        out = out.withColumn("_part", F.floor(F.col("_part") / fan_in).cast("long"))
-        out = _merged(out, [*groups, "_part"], f"{head}, _part long, {SUMMARY}", permitted(epsilon, level))
-        parts = -(-parts // fan_in)
-        if parts == 1:
-            return out.drop("_part").withColumn("level", F.lit(level))
+    out = cut(data.mapInPandas(leaves, f"{head}, {SUMMARY}"), "leaf-summaries").withColumn("level", F.lit(0))
+    return combine(out, groups, epsilon, fan_in)
 
 
 def _merged(df: DataFrame, keys: list[str], schema: str, e: float) -> DataFrame:
@@ -147,13 +141,13 @@ def _merged(df: DataFrame, keys: list[str], schema: str, e: float) -> DataFrame:
 
 
 def combine(summaries: DataFrame, groups: list[str], epsilon: float = 0.0005, fan_in: int = 64) -> DataFrame:
-    """Merge finished summaries (of days, say) into one per ``groups``, at most ``fan_in`` at a time."""
+    """Merge finished summaries (of partitions or days, say) into one per ``groups``, about ``fan_in`` at a time."""
     kinds = {f.name: f.dataType.simpleString() for f in summaries.schema}
     head = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    most = summaries.agg(F.max("level").alias("l"), F.count("*").alias("n")).first()
-    level, left = most["l"] or 0, most["n"] or 0
-    out = summaries.withColumn("_part", F.pmod(F.xxhash64(*[c for c in summaries.columns if c not in _ARRAYS]), F.lit(max(1, -(-left // (fan_in // 2))))))
-    buckets = max(1, -(-left // (fan_in // 2)))
+    most = summaries.groupBy(*groups).agg(F.max("level").alias("l"), F.count("*").alias("n")).agg(F.max("l").alias("l"), F.max("n").alias("n")).first()
+    level, buckets = most["l"] or 0, max(1, -(-(most["n"] or 0) * 2 // fan_in)) if (most["n"] or 0) > fan_in else 1
+    spread = F.xxhash64(*[c for c in summaries.columns if c != "level"])  # summaries that are equal may meet
+    out = summaries.withColumn("_part", F.pmod(spread, F.lit(buckets)))
     while True:
         level += 1
         out = _merged(out.select(*groups, "_part", "n", *_ARRAYS), [*groups, "_part"], f"{head}, _part long, {SUMMARY}", permitted(epsilon, level))
