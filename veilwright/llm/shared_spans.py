@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwright.operators.skew import SALTS, copies, salt
+from veilwright.operators.skew import SALTS, salt
 from veilwright.runtime import cut, drop_path, empty, scratch
 
 CONTEXT = "m long, c binary, doc_id long, x int, n int"
@@ -233,7 +233,7 @@ def _compare(length: int):
 
 
 def _exploded(length: int):
-    """Every window of every context with its offset to the elected gram and a digest of its text."""
+    """Every window of every context with a digest of its text, the elected gram and its place in the window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -242,11 +242,12 @@ def _exploded(length: int):
                 who = np.repeat(np.arange(len(pdf)), count)
                 step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
                 w = []
-                for part, n in zip(pdf["part"], count.tolist()):
+                for part, n, m, anchor in zip(pdf["part"], count.tolist(), pdf["m"].tolist(), pdf["anchor"].tolist()):
                     raw = memoryview(codes_of(part)).cast("B")
-                    w += [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16).digest() for i in range(n)]
+                    gram = m.to_bytes(8, "little", signed=True)
+                    w += [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16, salt=gram, person=(anchor - i).to_bytes(8, "little")).digest() for i in range(n)]
                 rows = {c: pdf[c].to_numpy()[who] for c in ("m", "c", "lo", "hi")}
-                yield pd.DataFrame({**rows, "o": (step - pdf["anchor"].to_numpy()[who]).astype(np.int32), "step": step.astype(np.int32), "w": w})
+                yield pd.DataFrame({**rows, "step": step.astype(np.int32), "w": w})
 
     return run
 
@@ -303,20 +304,20 @@ class SpanIndex:
         rows = self._read("texts").where(f"batch = {n}").select("doc_id", "text").mapInPandas(_fingerprints(self.length, self.gram), CONTEXT)
         self._append("places", rows.withColumn("salt", salt(F.col("doc_id"), self.salts)), ["m", "salt"])
         mine = self._read("places").where(f"batch = {n}")
-        place = F.min(F.struct("doc_id", "x", "n")).alias("place")
-        self._append("classes", mine.groupBy("m", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), place), ["m"])
+        fold = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("parts").alias("parts")]
+        few = mine.select("m", "salt", "c", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), F.expr("shiftleft(1, salt)").alias("parts"))
+        few = few.groupBy("m", "salt", "c").agg(*fold)  # in place: a notice shrinks to one row a part before it is shuffled
+        self._append("classes", few.repartition(self.buckets, "m").groupBy("m", "c").agg(*fold), ["m"])
         classes = self._read("classes")
         touched = classes.join(classes.where(f"batch = {n}").select("m").distinct(), "m", "left_semi")
         old = lambda c: F.when(F.col("batch") < n, F.col(c))
-        touched = touched.groupBy("m", "c").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("place"), (F.max("batch") == n).alias("fresh"), (F.min(old("lo")) == F.max(old("hi"))).alias("was_single")
-        )
+        touched = touched.groupBy("m", "c").agg(*fold, (F.max("batch") == n).alias("fresh"), (F.min(old("lo")) == F.max(old("hi"))).alias("was_single"))
         differs = F.min("c") != F.max("c")
         group = touched.groupBy("m").agg((differs & F.max("fresh") & (F.min("lo") != F.max("hi")) & F.max(F.col("lo") == F.col("hi"))).alias("open"), F.count("*").alias("size"))
         touched = cut(touched.join(group, "m").where("open or (fresh and lo != hi)"), "span-classes")
 
-        whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"))
-        whole = self._read("places").join(copies(whole, self.salts), ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
+        whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"), F.explode(self._parts()).alias("salt"))
+        whole = self._read("places").join(whole, ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
         whole = whole.select("doc_id", F.col("x").alias("start_pos"), (F.col("x") + F.col("n") + self.length).alias("end_pos"))
         fine = self._compared(touched.where("open"))
         single = touched.where("open and lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
@@ -329,19 +330,25 @@ class SpanIndex:
         if self.runs > self.fan_in:
             self.compact()
 
+    def _parts(self) -> Column:
+        """Parts in which a class has places."""
+        return F.filter(F.sequence(F.lit(0), F.lit(self.salts - 1)), lambda i: F.call_function("shiftright", F.col("parts"), i).bitwiseAND(F.lit(1)) == 1)
+
     def _compared(self, groups: DataFrame) -> DataFrame:
         """Shared windows ``(m, c, a, b)`` of differing contexts with one elected gram."""
-        want = F.struct("m", "c", "lo", "hi", "place.x", "place.n", (F.col("size") > self.group_limit).alias("large"))
-        wants = groups.groupBy("place.doc_id").agg(F.collect_list(want).alias("wants"))  # bounded by the record's own text
+        groups = groups.select("m", "c", "lo", "hi", salt(F.col("lo"), self.salts).alias("salt"), (F.col("size") > self.group_limit).alias("large"))
+        groups = self._read("places").join(groups, ["m", "salt", "c"]).where("doc_id = lo")
+        groups = groups.groupBy("m", "salt", "c", "lo", "hi", "large").agg(F.min(F.struct("x", "n")).alias("place"))
+        want = F.struct("m", "c", "lo", "hi", "place.x", "place.n", "large")
+        wants = groups.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(want).alias("wants"))  # bounded by the record's own text
         parts = cut(self._read("texts").select("doc_id", "text").join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
         fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c binary, a int, b int")
         return fine.unionByName(self._large(parts.where("large"))).distinct()
 
     def _large(self, parts: DataFrame) -> DataFrame:
-        win = cut(parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, o int, step int, w binary"), "span-windows")
-        key = ["m", "o", "w"]
-        shared = win.groupBy(*key).agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select(*key)
-        hit = win.where("lo = hi").join(shared, key, "left_semi")
+        win = cut(parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, step int, w binary"), "span-windows")
+        shared = win.groupBy("w").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("w")
+        hit = win.where("lo = hi").join(cut(shared, "shared-windows"), "w", "left_semi")  # its size is known when this is planned
         return hit.select("m", "c", F.col("step").alias("a"), (F.col("step") + self.length).cast("int").alias("b"))
 
     def compact(self) -> None:
@@ -349,7 +356,7 @@ class SpanIndex:
         old = {k: (self.tables.pop(k), self.paths.pop(k)) for k in ("places", "classes")}
         read = lambda k: self.spark.table(old[k][0])
         at, self.batches = self.batches, self.batches - 1
-        classes = read("classes").groupBy("m", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("place"))
+        classes = read("classes").groupBy("m", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("parts").alias("parts"))
         single = classes.where("lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
         self._append("places", read("places").drop("batch").join(single, ["m", "salt", "c"], "left_semi").select("m", "c", "doc_id", "x", "n", "salt"), ["m", "salt"])
         self._append("classes", classes, ["m"])
