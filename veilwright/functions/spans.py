@@ -24,6 +24,36 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+BLOCK = 256
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into blocks of :data:`BLOCK` elements."""
+    return let(values, lambda v: F.transform(F.filter(F.sequence(F.lit(0), F.size(v), F.lit(BLOCK)), lambda b: b < F.size(v)), lambda b: F.slice(v, b + 1, F.lit(BLOCK))))
+
+
+def folded(values: Column, kind: str, step) -> Column:
+    """Outputs of a running fold: ``step(pos, x)`` gives the next position and the output of ``x``, a ``kind``.
+
+    Outputs are gathered block by block, so the work grows with the array and not with its square.
+    """
+    state = f"struct<pos:int,out:array<{kind}>>"
+
+    def inner(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["pos"], x)[0].cast("int").alias("pos"), F.array_append(acc["out"], step(acc["pos"], x)[1]).alias("out"))
+
+    def outer(acc: Column, xs: Column) -> Column:
+        start = F.struct(F.coalesce(F.get(acc, F.size(acc) - 1)["pos"], F.lit(0)).alias("pos"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.array_append(acc, F.aggregate(xs, start, inner))
+
+    return F.aggregate(blocks(values), F.array().cast(f"array<{state}>"), outer, lambda acc: F.flatten(F.transform(acc, lambda a: a["out"])))
+
+
+def before(values: Column, largest: bool = False) -> Column:
+    """For each value of an integer array the sum of those before it, or the largest of them (zero for the first)."""
+    return folded(values, "int", lambda pos, v: (F.greatest(pos, v) if largest else pos + v, pos))
+
+
 def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column:
     """All matches with their offsets. A capture group must end its match (look-aheads may follow).
 
@@ -31,17 +61,16 @@ def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column
     second regex pass is only made where the first found something.
     """
     text, pat = col(text), F.lit(pattern) if isinstance(pattern, str) else pattern
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(HIT).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["pos"] + F.length(x["gap"]) + F.length(x["w"])
-        hit = F.struct((end - F.length(x["t"])).alias("start"), end.alias("end"), x["t"].alias("text"))
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], hit).alias("out"))
+    def step(pos: Column, z: Column) -> tuple[Column, Column]:
+        end = pos + F.length(z["gap"]) + F.length(z["w"])
+        return end, F.struct((end - F.length(z["t"])).alias("start"), end.alias("end"), z["t"].alias("text"))
 
     def placed(whole: Column) -> Column:
         taken = whole if group == 0 else F.regexp_extract_all(text, pat, F.lit(group))
-        zipped = F.arrays_zip(whole.alias("w"), taken.alias("t"), F.slice(F.split(text, pat, -1), F.lit(1), F.size(whole)).alias("gap"))
-        return F.when(F.size(whole) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(HIT))
+        gaps = F.slice(F.split(text, pat, -1), F.lit(1), F.size(whole))
+        zipped = F.arrays_zip(whole.alias("w"), taken.alias("t"), gaps.alias("gap"))
+        return F.when(F.size(whole) > 0, folded(zipped, "struct<start:int,end:int,text:string>", step)).otherwise(F.array().cast(HIT))
 
     return let(F.regexp_extract_all(text, pat, F.lit(0)), placed)
 
@@ -73,14 +102,31 @@ def by_start(spans: Column) -> Column:
 
 
 def greedy(spans: Column, *priority) -> Column:
-    """Non-overlapping spans: by ``priority`` (functions of a span, larger first), ties in input order."""
+    """Non-overlapping spans: by ``priority`` (functions of a span, larger first, null last), ties in input order.
+
+    Spans that do not touch cannot keep each other out, so the choice is made inside islands of touching spans.
+    """
+
+    def keyed(s: Column, i: Column) -> Column:
+        key = F.struct(*[F.coalesce((-p(s)).cast("double"), F.lit(1e308)).alias(f"k{n}") for n, p in enumerate(priority)], i.alias("i"))
+        return F.struct(s["start"].alias("a"), i.alias("b"), key.alias("key"), s.alias("s"))
+
+    def chosen(island: Column) -> Column:
+        ranked = F.array_sort(F.transform(island, lambda k: F.struct(k["key"].alias("key"), k["s"].alias("s"))))
+        kept = F.aggregate(ranked, no_spans(), lambda acc, k: F.when(F.exists(acc, lambda x: overlaps(x, k["s"])), acc).otherwise(F.array_append(acc, k["s"])))
+        return F.when(F.size(island) == 1, F.transform(island, lambda k: k["s"])).otherwise(by_start(kept))
+
+    def split(ordered: Column) -> Column:
+        """Islands of spans in order of their starts."""
+
+        def at(ends: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: F.get(ordered, i)["a"] >= F.get(ends, i))
+            return let(firsts, lambda f: F.transform(f, lambda i, n: F.slice(ordered, i + 1, F.coalesce(F.get(f, n + 1), F.size(ordered)) - i)))
 
-    def key(s: Column, i: Column) -> Column:
-        return F.struct(*[(-p(s)).alias(f"k{n}") for n, p in enumerate(priority)], i.alias("i"), s.alias("s"))
+        return let(before(F.transform(ordered, lambda k: k["s"]["end"]), largest=True), at)
 
-    ranked = F.array_sort(F.transform(spans, key))
-    kept = F.aggregate(ranked, no_spans(), lambda acc, k: F.when(F.exists(acc, lambda x: overlaps(x, k["s"])), acc).otherwise(F.array_append(acc, k["s"])))
-    return by_start(kept)
+    ordered = F.array_sort(F.transform(spans, keyed))
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(let(ordered, split), chosen))).when(spans.isNotNull(), no_spans())
 
 
 def length(s: Column) -> Column:

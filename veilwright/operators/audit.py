@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.functions import spans as S
@@ -28,11 +28,16 @@ def spans_summary(spans: Column, mapping: Column) -> Column:
     return S.let(back, lambda b: F.transform(spans, lambda s: row(s, b)))
 
 
-def mask_rows(masked: DataFrame, job_id: str, now: Column, ttl_seconds: int = 86_400) -> tuple[DataFrame, DataFrame]:
-    """Job rows and their audit rows for masked documents. ``char_count`` counts the masked text."""
+def mask_rows(masked: DataFrame, job_id: str, now: Column, ttl_seconds: int = 86_400, mode: str | None = None, file_type: Column | None = None, methods: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Job rows and their audit rows for masked documents. ``char_count`` counts the masked text.
+
+    ``methods`` is the array of extraction methods of a file: the row has its distinct values sorted, with commas.
+    """
     spans = F.col("spans")
-    jobs = masked.select(F.col(job_id).alias("job_id"), now.alias("created_at"), F.size(spans).alias("span_count"), *source_counts(spans), F.length("masked_text").alias("char_count"), (now + F.make_interval(secs=F.lit(ttl_seconds))).alias("mapping_expires_at"), spans_summary(spans, F.col("mapping")).alias("spans_summary"), F.lit(ENGINE_VERSION).alias("engine_version"))
-    return jobs, jobs.select("job_id", F.col("created_at").alias("occurred_at"), F.lit("mask").alias("event_type"), F.lit("success").alias("outcome"), F.to_json(F.struct("span_count", "char_count")).alias("details"))
+    no = F.lit(None).cast("string")
+    how = [F.lit(mode).cast("string").alias("mode"), (no if file_type is None else file_type).alias("file_type"), (no if methods is None else F.array_join(F.array_sort(F.array_distinct(methods)), ",")).alias("extraction_methods")]
+    jobs = masked.select(F.col(job_id).alias("job_id"), now.alias("created_at"), *how, F.size(spans).alias("span_count"), *source_counts(spans), F.length("masked_text").alias("char_count"), (now + F.make_interval(secs=F.lit(ttl_seconds))).alias("mapping_expires_at"), spans_summary(spans, F.col("mapping")).alias("spans_summary"), F.lit(ENGINE_VERSION).alias("engine_version"))
+    return jobs, jobs.select("job_id", F.col("created_at").alias("occurred_at"), F.lit("mask").alias("event_type"), F.lit("success").alias("outcome"), F.to_json(F.struct("span_count", "char_count", "mode", "file_type", "extraction_methods")).alias("details"))
 
 
 def unmask_rows(requests: DataFrame, now: Column) -> DataFrame:
@@ -49,6 +54,18 @@ def correction_rows(raw: DataFrame) -> DataFrame:
     return raw.withColumn("text_hash", F.sha2(F.col("text"), 256)).drop("text")
 
 
+def correction_sinks(raw: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """What one correction writes: the hashed row, the raw row and the audit row, to be appended together."""
+    audit = raw.select("job_id", now.alias("occurred_at"), F.lit("correction").alias("event_type"), F.lit("success").alias("outcome"), F.to_json(F.struct("entity_label", "detector_source")).alias("details"))
+    return {"corrections": correction_rows(raw), "examples": raw, "audit_log": audit}
+
+
+def false_positive_confidences(corrections: DataFrame) -> DataFrame:
+    """``entity_label, source, confidence`` of false positives with a known confidence; no detector is ``any``."""
+    rows = corrections.where("event_type = 'false_positive' and confidence is not null and not isnan(confidence)")
+    return rows.select("entity_label", F.coalesce("detector_source", F.lit("any")).alias("source"), "confidence")
+
+
 def once(corrections: DataFrame) -> DataFrame:
     return corrections.dropDuplicates(["correction_id"])
 
@@ -63,29 +80,24 @@ def pivot(corrections: DataFrame, by: str) -> DataFrame:
     return corrections.where(F.col(by).isNotNull()).groupBy(by).agg(*per, F.count("*").alias("total"))
 
 
-def percentile_index(values: Column, q: float) -> Column:
-    """Value at ``max(0, floor(n q) - 1)`` of the sorted values."""
-    return F.get(values, F.greatest(F.lit(0), F.floor(F.size(values) * F.lit(q)).cast("int") - 1))
-
-
 def threshold_hints(corrections: DataFrame) -> DataFrame:
     """Confidence of false positives per label and source, with a threshold just above the 90th percentile.
 
-    Order statistics are read off counts per distinct confidence, so a hot group is never gathered in one place.
+    Order statistics are read off running counts per distinct confidence; no group is gathered into a row.
     """
-    fp = corrections.where("event_type = 'false_positive' and confidence is not null and not isnan(confidence)")
     key = ["entity_label", "source"]
-    fp = fp.withColumn("source", F.coalesce("detector_source", F.lit("any"))).groupBy(*key, F.col("confidence").alias("c")).agg(F.count("*").alias("k"))
-    groups = fp.groupBy(*key).agg(F.sum("k").alias("n"), F.min("c").alias("lowest"), F.max("c").alias("highest"), F.array_sort(F.collect_list(F.struct("c", "k"))).alias("steps"))
-    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+    steps = false_positive_confidences(corrections).groupBy(*key, F.col("confidence").alias("c")).agg(F.count("*").alias("k"))
+    seen = F.sum("k").over(Window.partitionBy(*key).orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = steps.groupBy(*key).agg(F.sum("k").alias("n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    steps = steps.withColumn("seen", seen).alias("a").join(sizes.alias("b"), same[0] & same[1]).select("a.*", "n")
 
     def at(q: float) -> Column:
         rank = F.greatest(F.lit(0), F.floor(F.col("n") * q).cast("long") - 1)
-        pick = lambda acc, s: F.struct((acc["seen"] + s["k"]).alias("seen"), F.when(acc["v"].isNull() & (acc["seen"] + s["k"] > rank), s["c"]).otherwise(acc["v"]).alias("v"))
-        return F.aggregate("steps", zero, pick, lambda acc: acc["v"])
+        return F.min(F.when(F.col("seen") > rank, F.col("c")))
 
-    out = groups.withColumn("p50", at(0.5)).withColumn("p90", at(0.9))
-    return out.select(*key, "n", "lowest", "p50", "p90", "highest", F.round(F.col("p90") + 0.01, 4).alias("suggested"))
+    out = steps.groupBy(*key).agg(F.max("n").alias("n"), F.min("c").alias("lowest"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("c").alias("highest"))
+    return out.withColumn("suggested", F.round(F.col("p90") + 0.01, 4))
 
 
 def repeated(corrections: DataFrame, least: int = 2, limit: int = 20) -> DataFrame:

@@ -120,6 +120,13 @@ def report(counts: DataFrame) -> DataFrame:
     return rates(counts).orderBy(F.desc("support"), "label")
 
 
+def report_json(counts: DataFrame) -> DataFrame:
+    """One row: a JSON object of the labels in order with their figures. There are as many entries as labels."""
+    figures = F.struct("precision", "recall", "f1", "support", "tp", "fp", "fn").alias("figures")
+    entries = F.array_sort(F.collect_list(F.struct("label", figures)))
+    return rates(counts).agg(F.to_json(F.map_from_entries(entries)).alias("report"))
+
+
 def errors(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """False positives and false negatives with their kind."""
     g, p = gold.select(*KEY).distinct(), pred.select(*KEY).distinct()
@@ -138,6 +145,11 @@ def mode_summary(spans: DataFrame) -> DataFrame:
     return spans.groupBy("mode").agg(F.count("*").alias("span_count"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("mean_confidence"))
 
 
+def mode_labels(spans: DataFrame) -> DataFrame:
+    """Spans per mode and label."""
+    return spans.groupBy("mode", "label").agg(F.count("*").alias("n"))
+
+
 def overlap_classes(full: DataFrame, regex: DataFrame, ner: DataFrame) -> DataFrame:
     """Spans of the full run as ``regex_only``, ``ner_only`` or ``both``; other sources are left out."""
 

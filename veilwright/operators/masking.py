@@ -154,11 +154,38 @@ def definers(text: Column | str, spans: Column, reach: int = 250) -> Column:
     def definer(c: Column, at: Column) -> Column:
         near = F.filter(spans, lambda s: s["label"].isin(*_ENTITY_LABELS) & (s["source"] != "manual") & (s["end"] <= at) & (at - s["end"] <= reach))
         last = F.array_max(F.transform(near, lambda s: F.struct(s["end"].alias("end"), (-s["start"]).alias("k"), s["text"].alias("text"), s["label"].alias("label"))))
-        return F.struct(_strip(c["text"]).alias("alias"), at.alias("clause_start"), last["text"].alias("definer"), last["label"].alias("label"))
+        return F.struct(_strip(c["text"]).alias("alias"), at.alias("clause_start"), last["text"].alias("definer"), last["label"].alias("label"), (-last["k"]).alias("start"), last["end"].alias("end"))
 
     return F.transform(F.arrays_zip(clauses.alias("c"), starts.alias("s")), lambda z: definer(z["c"], z["s"]["start"]))
 
 
+def alias_links(text: Column | str, spans: Column, threshold: float = 0.5) -> Column:
+    """Spans without an id that a clause's short names name get the id of the longest text among them and their definer.
+
+    A clause may define several names, separated by strokes, commas or words for and/or; blocked terms name nothing.
+    """
+
+    def step(acc: Column, d: Column) -> Column:
+        parts = F.transform(F.split(d["alias"], S.java(r"[/,]|\s+(?:ve|veya|ya da)\s+"), -1), _strip)
+        parts = F.filter(parts, lambda a: (F.length(a) > 1) & ~ner.blocked(a) & (F.size(entity_tokens(a)) > 0))
+        is_definer = lambda s: (s["start"] == d["start"]) & (s["end"] == d["end"])
+
+        def linked(tokens: Column) -> Column:
+            named = lambda s: ~is_definer(s) & (s["source"] != "manual") & (s["label"] == d["label"]) & F.exists(tokens, lambda t: overlap_coefficient(entity_tokens(s["text"]), t) >= threshold)
+            longest = F.array_max(F.transform(F.filter(acc, lambda s: is_definer(s) | named(s)), lambda s: F.struct(F.length(s["text"]).alias("n"), (-s["start"]).alias("k"), s["text"].alias("t"))))["t"]
+            cid = F.concat(d["label"], F.lit("::"), F.lower(longest))
+            given = F.transform(acc, lambda s: F.when(s["canonical_id"].isNull() & (is_definer(s) | named(s)), s.withField("canonical_id", cid)).otherwise(s))
+            return F.when(F.exists(acc, named), given).otherwise(acc)
+
+        return F.when(d["definer"].isNull(), acc).otherwise(S.let(F.transform(parts, entity_tokens), linked))
+
+    return S.let(spans, lambda own: F.aggregate(definers(text, own), own, step))
+
+
+def without_automatic_ids(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.when(s["source"] == "manual", s).otherwise(s.withField("canonical_id", F.lit(None).cast("string"))))
+
+
 # -- placeholders
 
 
@@ -167,45 +194,75 @@ def apply_policy(spans: Column, disabled: list[str]) -> Column:
     return F.filter(spans, lambda s: (s["source"] == "manual") | ~s["label"].isin(disabled)) if disabled else spans
 
 
+def _heads(ordered: Column, same: str) -> Column:
+    """Elements of a sorted array that differ in field ``same`` from the one before."""
+    return S.let(ordered, lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)[same] != x[same])))
+
+
 def numbered(spans: Column) -> Column:
-    """``array<struct<start,end,text,placeholder>>`` in reading order, numbered per label by first occurrence."""
+    """``array<struct<start,end,text,placeholder>>`` in reading order, numbered per label by first occurrence.
+
+    Ids meet by sorting, not by looking each one up, so a document with very many spans stays feasible.
+    """
     ordered = F.transform(S.by_start(spans), lambda s: s.withField("canonical_id", F.coalesce(s["canonical_id"], F.concat(s["label"], F.lit("::"), s["text"]))))
 
-    def heads(own: Column) -> Column:
-        """The first span of each id, with its label."""
-        ids = F.transform(own, lambda s: s["canonical_id"])
-        return S.let(ids, lambda all_ids: F.filter(F.transform(own, lambda s, i: F.struct(s["canonical_id"].alias("id"), s["label"].alias("label"), (F.array_position(all_ids, s["canonical_id"]) == i + 1).alias("first"))), lambda h: h["first"]))
+    def by_id(own: Column) -> Column:
+        """``id, i`` and the number ``d`` of the id among the sorted ids."""
+        entries = F.array_sort(F.transform(own, lambda s, i: F.struct(s["canonical_id"].alias("id"), i.alias("i"))))
+        fresh = lambda e: F.transform(e, lambda x, i: F.when((i > 0) & (F.get(e, i - 1)["id"] == x["id"]), 0).otherwise(1))
+        with_d = lambda e: S.let(fresh(e), lambda f: F.transform(F.arrays_zip(e.alias("e"), f.alias("f"), S.before(f).alias("b")), lambda z: F.struct(z["e"]["id"].alias("id"), z["e"]["i"].alias("i"), (z["b"] + z["f"] - 1).alias("d"))))
+        return S.let(entries, with_d)
+
+    def names(own: Column, entries: Column) -> Column:
+        """Placeholder of each id, in the order of ``d``."""
+        firsts = F.array_sort(F.transform(_heads(entries, "d"), lambda h: F.struct(F.get(own, h["i"])["label"].alias("label"), h["i"].alias("i"), h["d"].alias("d"))))
 
-    def names(first: Column) -> Column:
-        number = lambda h, i: F.size(F.filter(F.slice(first, F.lit(1), i + 1), lambda x: x["label"] == h["label"]))
-        return F.map_from_entries(F.transform(first, lambda h, i: F.struct(h["id"], F.concat(F.lit("{"), h["label"], F.lit("_"), number(h, i).cast("string"), F.lit("}")))))
+        def counted(f: Column) -> Column:
+            opens = F.transform(f, lambda x, n: F.when((n > 0) & (F.get(f, n - 1)["label"] == x["label"]), 0).otherwise(n))
+            placed = S.let(opens, lambda o: F.arrays_zip(f.alias("x"), o.alias("o"), S.before(o, largest=True).alias("b")))
+            name = lambda z, n: F.concat(F.lit("{"), z["x"]["label"], F.lit("_"), (n - F.greatest(z["o"].cast("long"), z["b"]) + 1).cast("string"), F.lit("}"))
+            return F.array_sort(F.transform(placed, lambda z, n: F.struct(z["x"]["d"].alias("d"), name(z, n).alias("name"))))
+
+        return S.let(firsts, counted)
 
     def marked(own: Column) -> Column:
-        known = S.let(heads(own), names)
-        return S.let(known, lambda k: F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.try_element_at(k, s["canonical_id"]).alias("placeholder"))))
+        def given(entries: Column) -> Column:
+            back = lambda ns: F.array_sort(F.transform(entries, lambda e: F.struct(e["i"].alias("i"), F.get(ns, e["d"].cast("int"))["name"].alias("name"))))
+            return S.let(names(own, entries), back)
+
+        mark = lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end"), z["s"]["text"].alias("text"), z["p"]["name"].alias("placeholder"))
+        return F.transform(F.arrays_zip(own.alias("s"), S.let(by_id(own), given).alias("p")), mark)
 
     return S.let(ordered, marked)
 
 
-def substituted(text: Column | str, marks: Column) -> Column:
+def substituted(text: Column | str, marks: Column, block: int = 256) -> Column:
+    """The text with each mark's place taken by its placeholder. Pieces are cut out of blocks of the text and joined once."""
     text = S.col(text)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda acc, m: F.struct(m["end"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, m["start"] - acc["pos"]), m["placeholder"]).alias("out"))
-    return F.aggregate(marks, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
 
+    def piece(part: Column, first: Column):
+        return lambda m: F.concat(F.substring(part, m["gap"] - first + 1, m["start"] - m["gap"]), m["placeholder"])
 
-def mapping(marks: Column) -> Column:
-    """Placeholder to its longest surface; the first of equally long ones."""
+    def of_block(ms: Column) -> Column:
+        first, last = F.get(ms, F.lit(0))["gap"], F.element_at(ms, -1)["end"]
+        return S.let(F.substring(text, first + 1, last - first), lambda part: F.array_join(F.transform(ms, piece(part, first)), ""))
+
+    def with_gaps(ms: Column) -> Column:
+        gap = lambda i: F.when(i > 0, F.get(ms, i - 1)["end"]).otherwise(0)
+        return F.transform(ms, lambda m, i: F.struct(gap(i).alias("gap"), m["start"].alias("start"), m["end"].alias("end"), m["placeholder"].alias("placeholder")))
+
+    def joined(ms: Column) -> Column:
+        blocks = F.transform(F.filter(F.sequence(F.lit(0), F.size(ms), F.lit(block)), lambda b: b < F.size(ms)), lambda b: S.let(F.slice(ms, b + 1, F.lit(block)), of_block))
+        tail = F.substring(text, F.element_at(ms, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(blocks, ""), tail)
 
-    def kept(own: Column) -> Column:
-        def longest(name: Column) -> Column:
-            mine = F.filter(own, lambda m: m["placeholder"] == name)
-            return F.array_max(F.transform(mine, lambda m: F.struct(F.length(m["text"]).alias("n"), (-m["start"]).alias("k"), m["text"].alias("t"))))["t"]
+    return S.let(marks, lambda own: F.when(F.size(own) == 0, text).otherwise(S.let(with_gaps(own), joined)))
 
-        names = F.array_distinct(F.transform(own, lambda m: m["placeholder"]))
-        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, longest(n))))
 
-    return S.let(marks, kept)
+def mapping(marks: Column) -> Column:
+    """Placeholder to its longest surface; the first of equally long ones."""
+    ranked = F.array_sort(F.transform(marks, lambda m: F.struct(m["placeholder"].alias("p"), (-F.length(m["text"])).alias("n"), m["start"].alias("k"), m["text"].alias("t"))))
+    return F.map_from_entries(F.transform(_heads(ranked, "p"), lambda h: F.struct(h["p"], h["t"])))
 
 
 def unmask(masked: Column | str, known: Column) -> Column:
@@ -227,6 +284,7 @@ class Settings:
     disabled: list[str] = field(default_factory=list)
     manual: str | None = None
     fuzzy: bool = False
+    alias_links: bool = False
     first_word_key: bool = False
 
 
@@ -247,15 +305,19 @@ def mask(df: DataFrame, text: str = "text", settings: Settings | None = None, ra
         found["_model"] = ner.filtered(t, F.col(raw) if raw else ner.dictionary_model(t, s.entries))
     if s.mode == "full":
         found["_gaz"] = gazetteer.detect(t)
-    out = df.withColumns(found)  # few wide steps: every step analyses the plan again
-    grown = S.let(not_excluded(F.col("_model"), names), lambda own: F.when(F.size(own) > 0, expand(t, own, names)).otherwise(own))
+    out = df.withColumns(found)  # a few steps: each keeps the expressions that are analysed together small
+    if s.mode != "regex":
+        out = out.withColumn("_model", not_excluded(F.col("_model"), names))
+        out = out.withColumn("_model", F.when(F.size("_model") > 0, expand(t, F.col("_model"), names)).otherwise(F.col("_model")))
     if s.mode == "full":
-        auto = detect.merge(F.col("_regex"), grown, not_excluded(F.col("_gaz"), names))
+        out = out.withColumn("_auto", detect.merge(F.col("_regex"), F.col("_model"), not_excluded(F.col("_gaz"), names)))
     else:
-        auto = detect.single(F.col("_regex") if s.mode == "regex" else grown)
+        out = out.withColumn("_auto", detect.single(F.col("_regex") if s.mode == "regex" else F.col("_model")))
     if s.manual:
-        auto = detect.merge_manual(auto, manual(t, F.col(s.manual), s.first_word_key))
-    out = out.withColumn("spans", fuzzy_groups(auto) if s.fuzzy else auto)
+        out = out.withColumn("_auto", detect.merge_manual(F.col("_auto"), manual(t, F.col(s.manual), s.first_word_key)))
+    if s.alias_links:
+        out = out.withColumn("_auto", S.with_canonical_ids(alias_links(t, without_automatic_ids(F.col("_auto")))))
+    out = out.withColumn("spans", fuzzy_groups(F.col("_auto")) if s.fuzzy else F.col("_auto"))
     out = out.withColumn("_marks", numbered(apply_policy(F.col("spans"), s.disabled)))
     out = out.withColumns({"masked_text": F.when(t.isNotNull(), substituted(t, F.col("_marks"))), "mapping": mapping(F.col("_marks"))})
-    return out.drop("_names", "_regex", "_model", "_gaz", "_marks")
+    return out.drop("_names", "_regex", "_model", "_gaz", "_auto", "_marks")

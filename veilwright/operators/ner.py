@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,12 +98,18 @@ def model_udf(load: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> C
     return run
 
 
+def model_source(chosen: str | None, folders: list[str], fallback: str) -> str:
+    """Where a model comes from: the one that was chosen, else the first folder that exists, else the public name."""
+    return chosen or next((f for f in folders if Path(f).exists()), fallback)
+
+
 def _word_left(text: Column, at: Column) -> Column:
-    return F.length(F.regexp_extract(F.substring(text, F.greatest(at - 63, F.lit(1)), F.least(at, F.lit(64))), f"[{_LETTER}_]+$", 0))
+    """Letters of the word right before ``at``, however long it is."""
+    return F.length(F.regexp_extract(F.substring(text, F.lit(1), at), rf"[{_LETTER}_]*\z", 0))
 
 
 def _word_right(text: Column, at: Column) -> Column:
-    return F.length(F.regexp_extract(F.substring(text, at + 1, F.lit(64)), f"^[{_LETTER}_]+", 0))
+    return F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), f"^[{_LETTER}_]*", 0))
 
 
 def blocked(surface: Column) -> Column:
@@ -121,7 +128,7 @@ _TAIL = S.java(rf"(?:[^{_LETTER}_]*(?<![{_LETTER}])(?:{'|'.join(map(_loose, W.GE
 
 
 def citation_zones(text: Column | str) -> Column:
-    """Ranges of statute citations: a number, 'sayılı' and a law's word."""
+    """Ranges of statute citations (fixed pattern): a number, 'sayılı' and a law's word."""
     return S.matches(text, S.java(rf"\b\d{{1,5}}\s+say[ıiİI]l[ıiİI]\s+[^\n.;:]{{0,100}}?{W.LAW_WORDS}{_LAW_TAIL}", True))
 
 

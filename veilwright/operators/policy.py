@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +46,22 @@ def update(current: DataFrame, changes: DataFrame) -> DataFrame:
 def disabled(policy: DataFrame) -> list[str]:
     """Labels that stay unmasked. The policy has one row per label of the catalog."""
     return sorted(r["label"] for r in policy.where("enabled = false").select("label").collect())
+
+
+def load(path: str) -> str | None:
+    """Text of a policy file, None if there is none."""
+    try:
+        return Path(path).read_text(encoding="utf-8")
+    except OSError:
+        return None
+
+
+def save(policy: DataFrame, path: str) -> None:
+    """Write a policy as a JSON object of booleans, labels in order; readers see the old file or the new one."""
+    rows = {r["label"]: r["enabled"] for r in policy.select("label", "enabled").collect()}  # one row per label of the catalog
+    folder = Path(path).parent
+    folder.mkdir(parents=True, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=folder, suffix=".json")
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        json.dump(dict(sorted(rows.items())), f, ensure_ascii=False, indent=2)
+    os.replace(temporary, path)

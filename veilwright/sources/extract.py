@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 PAGE = "struct<page_number:int,text:string,extract_method:string,confidence:double>"
@@ -27,7 +28,21 @@ def file_kind(filename: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    """``filename, content`` of every file; a path that cannot be read is a row without content, which :func:`extract` reports."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    except AnalysisException:
+        return spark.createDataFrame([(path.rstrip("/").rsplit("/", 1)[-1], None)], "filename string, content binary")
+
+
+REQUEST = "text string, language string, mode string, manual_spans array<struct<text:string,label:string>>"
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Masking requests, one JSON object per line; without a mode it is ``full``. The language is carried, not used."""
+    rows = spark.read.schema(REQUEST).json(path)
+    return rows.withColumn("mode", F.coalesce("mode", F.lit("full")))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +82,9 @@ def extract(files: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = N
         except Exception:  # a page that cannot be read is an empty page
             return {"page_number": page or 1, "text": "", "extract_method": "ocr", "confidence": None}
 
-    def pages(name: str, data: bytes) -> list[dict]:
+    def pages(name: str, data: bytes | None) -> list[dict]:
+        if data is None:
+            raise ValueError("cannot read file")
         m = re.search(r"\.[^./\\]+$", name or "")
         kind = KINDS.get(m.group().lower() if m else "")
         if kind is None:

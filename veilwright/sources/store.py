@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwright.runtime import empty
+
 MAPPING = "job_id string, placeholder string, original string, expires_at timestamp"
 
 
@@ -60,6 +64,45 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> b
     return True
 
 
+def append_together(frames: dict[str, DataFrame], root: str) -> str | None:
+    """Append to several tables under ``root`` as one: their rows count once the batch is committed.
+
+    Gives the batch's id, or None if a write failed; what was written of it then is never read.
+    """
+    batch = uuid.uuid4().hex
+    try:
+        for name, df in frames.items():
+            df.write.parquet(f"{root}/{name}/batch={batch}")
+        spark = next(iter(frames.values())).sparkSession
+        spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    except Exception as e:  # the audit trail must not stop the work
+        print(f"append under {root} failed: {e}")
+        return None
+    return batch
+
+
+def read_together(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Committed rows of a table; an empty table if it cannot be read."""
+    rows = read_or_empty(spark, f"{root}/{name}", f"{schema}, batch string")
+    return rows.join(read_or_empty(spark, f"{root}/commits", "batch string").distinct(), "batch", "left_semi").drop("batch")
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, or no rows of its schema where it is missing or broken: reports degrade, they do not fail."""
+    try:
+        df = spark.read.schema(schema).parquet(path)
+        df.limit(1).count()
+        return df
+    except Exception as e:
+        print(f"reading {path} failed: {e}")
+        return empty(spark, schema)
+
+
+def health(model_available: bool, service: str = "veilwright") -> dict:
+    """What a health check answers."""
+    return {"status": "ok", "service": service, "ner_available": bool(model_available)}
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
