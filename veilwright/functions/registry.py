@@ -66,7 +66,7 @@ PATTERNS = [
     Pattern("R07", "Tax_No", rf"Vergi\s*(?:Kimlik\s*)?No\.?{_SEP}(\d{{10}})(?!\d)", 0.88, True, group=1),
     Pattern("R08", "Account_No", rf"MERSİS\s*No\.?{_SEP}(\d{{4}}{_groups(3, 4, r'[-\s]')})", 0.97, True, group=1),
     Pattern("R09", "Email", r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", 0.99, guard="@"),
-    Pattern("R10", "Phone_No", r"(?:\+90|0090|0)[ \-]?(?:5|2|3|4)\d{2}[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{2}", 0.95),
+    Pattern("R10", "Phone_No", r"(?:\+90|0090|0)[ \-]?[2-5]\d{2}[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{2}", 0.95),
     Pattern("R11", "License_Plate", r"\b(?:0[1-9]|[1-7][0-9]|8[01]) ?[A-ZÇĞİÖŞÜ]{1,3} ?\d{2,4}\b", 0.95, validator="plate"),
     Pattern("R12", "Passport_No", r"\b[A-Z]{1,2}\d{7,9}\b", 0.80),
     Pattern("R13", "Money_Amount", _money("₺|TL|TRY", r"\.", ","), 0.95, True),

@@ -54,25 +54,42 @@ def before(values: Column, largest: bool = False) -> Column:
     return folded(values, "int", lambda pos, v: (F.greatest(pos, v) if largest else pos + v, pos))
 
 
-def matches(text: Column | str, pattern: str | Column, group: int = 0) -> Column:
-    """All matches with their offsets. A capture group must end its match (look-aheads may follow).
+_PIECES = "array<struct<w:string,t:string,gap:string>>"
 
-    The pieces between matches come from ``split``; running lengths of pieces and matches give the offsets. The
-    second regex pass is only made where the first found something.
-    """
-    text, pat = col(text), F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def step(pos: Column, z: Column) -> tuple[Column, Column]:
-        end = pos + F.length(z["gap"]) + F.length(z["w"])
-        return end, F.struct((end - F.length(z["t"])).alias("start"), end.alias("end"), z["t"].alias("text"))
+def pieces(text: Column | str, pattern: str | Column, group: int = 0) -> Column:
+    """Each match ``w``, its group ``t`` and the ``gap`` before it. The second regex pass is only made where the first found something."""
+    text, pat = col(text), F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    def placed(whole: Column) -> Column:
+    def zipped(whole: Column) -> Column:
         taken = whole if group == 0 else F.regexp_extract_all(text, pat, F.lit(group))
         gaps = F.slice(F.split(text, pat, -1), F.lit(1), F.size(whole))
-        zipped = F.arrays_zip(whole.alias("w"), taken.alias("t"), gaps.alias("gap"))
-        return F.when(F.size(whole) > 0, folded(zipped, "struct<start:int,end:int,text:string>", step)).otherwise(F.array().cast(HIT))
+        return F.when(F.size(whole) > 0, F.arrays_zip(whole.alias("w"), taken.alias("t"), gaps.alias("gap"))).otherwise(F.array().cast(_PIECES))
+
+    return let(F.regexp_extract_all(text, pat, F.lit(0)), zipped)
+
+
+def _step(pos: Column, z: Column) -> tuple[Column, Column]:
+    end = pos + F.length(z["gap"]) + F.length(z["w"])
+    return end, F.struct((end - F.length(z["t"])).alias("start"), end.alias("end"), z["t"].alias("text"))
 
-    return let(F.regexp_extract_all(text, pat, F.lit(0)), placed)
+
+def placed(found: Column) -> Column:
+    """Matches with their offsets: running lengths of pieces and matches. Linear in the number of matches."""
+    return folded(found, "struct<start:int,end:int,text:string>", _step)
+
+
+def matches(text: Column | str, pattern: str | Column, group: int = 0, many: bool = False) -> Column:
+    """All matches with their offsets. A capture group must end its match (look-aheads may follow).
+
+    ``many`` is for patterns that match all over a text; it costs a larger expression.
+    """
+    found = pieces(text, pattern, group)
+    if many:
+        return placed(found)
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(HIT).alias("out"))
+    step = lambda acc, z: F.struct(_step(acc["pos"], z)[0].alias("pos"), F.array_append(acc["out"], _step(acc["pos"], z)[1]).alias("out"))
+    return F.aggregate(found, zero, step, lambda acc: acc["out"])
 
 
 def literal(value: Column) -> Column:

@@ -10,14 +10,29 @@ from veilwright.functions.registry import DOMINANT, PATTERNS, Pattern
 from veilwright.functions.validators import VALIDATORS
 
 
-def detect_one(text: Column | str, p: Pattern) -> Column:
-    """Spans of one pattern: matches whose group is not empty and whose validator holds."""
-    hits = S.matches(text, S.java(p.regex, p.ignore_case), p.group)
+def _spans_of(hits: Column, p: Pattern) -> Column:
+    """Matches whose group is not empty and whose validator holds."""
     ok = (lambda h: (F.length(h["text"]) > 0) & VALIDATORS[p.validator](h["text"])) if p.validator else (lambda h: F.length(h["text"]) > 0)
-    found = F.transform(F.filter(hits, ok), lambda h: S.span(h, p.label, "regex", p.confidence))
+    return F.transform(F.filter(hits, ok), lambda h: S.span(h, p.label, "regex", p.confidence))
+
+
+def detect_one(text: Column | str, p: Pattern) -> Column:
+    """Spans of one pattern."""
+    found = _spans_of(S.matches(text, S.java(p.regex, p.ignore_case), p.group, many=True), p)
     return found if p.guard is None else F.when(S.col(text).rlike(S.java(p.guard, p.ignore_case)), found).otherwise(S.no_spans())
 
 
+def _all(text: Column | str, patterns: list[Pattern]) -> Column:
+    """Pieces of all patterns side by side, so that one expression gives the offsets of all."""
+
+    def guarded(p: Pattern) -> Column:
+        found = S.pieces(text, S.java(p.regex, p.ignore_case), p.group)
+        return found if p.guard is None else F.when(S.col(text).rlike(S.java(p.guard, p.ignore_case)), found).otherwise(F.array().cast(S._PIECES))
+
+    at = F.transform(F.array(*[guarded(p) for p in patterns]), S.placed)
+    return S.let(at, lambda hits: F.concat(*[_spans_of(F.get(hits, F.lit(i)), p) for i, p in enumerate(patterns)]))
+
+
 _built: dict[tuple, Column] = {}
 
 
@@ -28,7 +43,7 @@ def detect_all(text: Column | str, patterns: list[Pattern] = PATTERNS) -> Column
     """
     key = (SparkSession.active().sparkContext.applicationId, text, tuple(patterns)) if isinstance(text, str) else None
     if key not in _built or key is None:
-        built = F.concat(*[detect_one(text, p) for p in patterns])
+        built = _all(text, patterns)
         if key is None:
             return built
         _built[key] = built
@@ -75,5 +90,9 @@ def merge_manual(auto: Column, manual: Column) -> Column:
 
 
 def explode_spans(df: DataFrame, keys: list[str], spans: Column | str = "spans") -> DataFrame:
-    """One row per span with its place in the list."""
-    return df.select(*keys, F.posexplode(S.col(spans)).alias("seq", "s")).select(*keys, "seq", "s.*")
+    """One row per span with its place in the list.
+
+    The outer form keeps the optimizer from copying the whole expression of the spans into a filter below it.
+    """
+    rows = df.select(*keys, F.posexplode_outer(S.col(spans)).alias("seq", "s")).where("s is not null")
+    return rows.select(*keys, "seq", "s.*")

@@ -50,14 +50,14 @@ def persons(text: Column | str) -> Column:
         pairs = F.arrays_zip(F.slice(words, F.lit(1), size - 1).alias("a"), F.slice(words, F.lit(2), size - 1).alias("b"))
         return F.when(size > 1, F.transform(F.filter(pairs, joined), whole)).otherwise(S.no_spans())
 
-    return S.let(S.matches(text, S.java(_TITLE)), paired)
+    return S.let(S.matches(text, S.java(_TITLE), many=True), paired)
 
 
 def places(text: Column | str, ahead: int = 45) -> Column:
     """A known province or district, unless a public body's word begins within the next ``ahead`` characters."""
     text = S.col(text)
     body = S.java(r"\b(?:" + "|".join(W.BODIES_AHEAD) + ")", True)
-    hits = S.matches(text, S.java(r"\b" + _TITLE))
+    hits = S.matches(text, S.java(r"\b" + _TITLE), many=True)
     known = F.filter(hits, lambda h: h["text"].isin(W.PROVINCES + W.DISTRICTS) & ~F.substring(text, h["end"] + 1, ahead).rlike(body))
     return F.transform(known, lambda h: S.span(h, "Location", "gazetteer", 0.85))
 

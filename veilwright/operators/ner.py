@@ -44,7 +44,7 @@ def token_windows(text: Column | str, size: int = 384, overlap: int = 64) -> Col
 
         return F.transform(firsts, window)
 
-    return S.let(S.matches(text, S.java(r"\S+")), tiled)
+    return S.let(S.matches(text, S.java(r"\S+"), many=True), tiled)
 
 
 def char_windows(text: Column | str, size: int = 900, overlap: int = 180) -> Column:
