@@ -36,7 +36,15 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: ends the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._veilwright_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the files of cut points that nothing reads any more."""
+    for df in cuts:
+        drop_path(df.sparkSession, df._veilwright_path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
