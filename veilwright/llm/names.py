@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.llm import lookalike, pii
-from veilwright.runtime import cut, spread
+from veilwright.runtime import cut, release, spread
 
 #: Titles and forms of address before a name.
 TITLES = set("dr prof doc av sn sayin bay bayan uzm op yrd ogr gor muh mim mr mrs ms miss herr frau ing".split())
@@ -456,7 +456,9 @@ def components(links: DataFrame) -> DataFrame:
         far = at.select(F.col("cluster").alias("low"), F.col("root").alias("far"))
         step = step.join(far, "low", "left").select("cluster", F.least("low", F.coalesce("far", "low")).alias("new"), "root")
         step = cut(step.select("cluster", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), f"name-roots-{i}")
-        at = step.drop("moved")
+        if i:
+            release(last)
+        at, last = step.drop("moved"), step
         if not step.where("moved").limit(1).count():
             return at
 

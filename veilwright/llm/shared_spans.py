@@ -8,7 +8,7 @@ contexts per ``length - gram`` code points.
 
 The index has tables of immutable sorted runs, one run per batch: the *texts* by record, *places* ``(gram hash m, digest c, doc_id, x, n)``
 of all contexts by gram, and *classes* of equal contexts ``(m, c)`` with the smallest and largest record and one place. ``c`` is
-a cryptographic digest of the context's text. Rows of one gram are split over parts by record, and a class is one row
+a cryptographic digest of the context's text, so that ``m`` and ``c`` are 128 bits. Rows of one gram are split over parts by record, and a class is one row
 however often it occurs, so a notice that stands everywhere is no hot key.
 
 :meth:`SpanIndex.add` writes a batch's run and merge-joins its grams with the earlier runs, bucket by bucket:
@@ -40,9 +40,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.operators.skew import SALTS, salt
-from veilwright.runtime import cut, drop_path, empty, scratch
+from veilwright.runtime import cut, drop_path, empty, release, scratch
 
-CONTEXT = "m long, c binary, doc_id long, x int, n int"
+CONTEXT = "m long, c long, doc_id long, x int, n int"
 INTERVAL = "doc_id long, start_pos int, end_pos int"
 
 _U = np.uint64
@@ -121,24 +121,22 @@ def contexts(codes: np.ndarray, length: int, gram: int, block: int = BLOCK) -> t
     x = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[x[1:], len(at)] - 1
     raw = memoryview(np.ascontiguousarray(codes)).cast("B")
-    c = [hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(x.tolist(), (last + length).tolist())]
-    return h[x].view(np.int64), c, x, last - x, at[x]
+    c = b"".join(hashlib.blake2b(raw[4 * a : 4 * b], digest_size=8).digest() for a, b in zip(x.tolist(), (last + length).tolist()))
+    return h[x].view(np.int64), np.frombuffer(c, dtype=np.int64), x, last - x, at[x]
 
 
 def _fingerprints(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts, ids, digests = [], [], []
+            parts, ids = [], []
             for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"]):
                 found = contexts(codes_of(text), length, gram)
                 if found is not None:
-                    m, c, x, n, _ = found
-                    parts.append((m, x, n))
-                    digests += c
-                    ids.append(np.full(len(m), doc_id, dtype=np.int64))
+                    parts.append(found)
+                    ids.append(np.full(len(found[0]), doc_id, dtype=np.int64))
             if parts:
-                m, x, n = (np.concatenate(z) for z in zip(*parts))
-                yield pd.DataFrame({"m": m, "c": digests, "doc_id": np.concatenate(ids), "x": x.astype(np.int32), "n": n.astype(np.int32)})
+                m, c, x, n, _ = (np.concatenate(z) for z in zip(*parts))
+                yield pd.DataFrame({"m": m, "c": c, "doc_id": np.concatenate(ids), "x": x.astype(np.int32), "n": n.astype(np.int32)})
 
     return run
 
@@ -160,7 +158,7 @@ def _texts_of(length: int, gram: int):
     return run
 
 
-PART = "m long, c binary, lo long, hi long, n int, anchor int, large boolean, part string"
+PART = "m long, c long, lo long, hi long, n int, anchor int, large boolean, part string"
 
 
 def _windows(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
@@ -246,8 +244,9 @@ def _exploded(length: int):
                     raw = memoryview(codes_of(part)).cast("B")
                     gram = m.to_bytes(8, "little", signed=True)
                     w += [hashlib.blake2b(raw[4 * i : 4 * (i + length)], digest_size=16, salt=gram, person=(anchor - i).to_bytes(8, "little")).digest() for i in range(n)]
+                halves = np.frombuffer(b"".join(w), dtype=np.int64).reshape(-1, 2)
                 rows = {c: pdf[c].to_numpy()[who] for c in ("m", "c", "lo", "hi")}
-                yield pd.DataFrame({**rows, "step": step.astype(np.int32), "w": w})
+                yield pd.DataFrame({**rows, "step": step.astype(np.int32), "w1": halves[:, 0], "w2": halves[:, 1]})
 
     return run
 
@@ -319,12 +318,13 @@ class SpanIndex:
         whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"), F.explode(self._parts()).alias("salt"))
         whole = self._read("places").join(whole, ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
         whole = whole.select("doc_id", F.col("x").alias("start_pos"), (F.col("x") + F.col("n") + self.length).alias("end_pos"))
-        fine = self._compared(touched.where("open"))
+        fine, used = self._compared(touched.where("open"))
         single = touched.where("open and lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
         partial = self._read("places").join(single.join(fine, ["m", "c"]), ["m", "salt", "c"])
         partial = partial.select("doc_id", (F.col("x") + F.col("a")).alias("start_pos"), (F.col("x") + F.col("b")).alias("end_pos"))
         found = whole.unionByName(partial).selectExpr("doc_id", "cast(start_pos as int) start_pos", "cast(end_pos as int) end_pos")
         self._append("matches", found, ["doc_id"])
+        release(touched, *used)
         self.batches += 1
         self.runs += 1
         if self.runs > self.fan_in:
@@ -334,22 +334,25 @@ class SpanIndex:
         """Parts in which a class has places."""
         return F.filter(F.sequence(F.lit(0), F.lit(self.salts - 1)), lambda i: F.call_function("shiftright", F.col("parts"), i).bitwiseAND(F.lit(1)) == 1)
 
-    def _compared(self, groups: DataFrame) -> DataFrame:
-        """Shared windows ``(m, c, a, b)`` of differing contexts with one elected gram."""
+    def _compared(self, groups: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Shared windows ``(m, c, a, b)`` of differing contexts with one elected gram, and the cut points they rest on."""
         groups = groups.select("m", "c", "lo", "hi", salt(F.col("lo"), self.salts).alias("salt"), (F.col("size") > self.group_limit).alias("large"))
         groups = self._read("places").join(groups, ["m", "salt", "c"]).where("doc_id = lo")
         groups = groups.groupBy("m", "salt", "c", "lo", "hi", "large").agg(F.min(F.struct("x", "n")).alias("place"))
         want = F.struct("m", "c", "lo", "hi", "place.x", "place.n", "large")
         wants = groups.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(want).alias("wants"))  # bounded by the record's own text
         parts = cut(self._read("texts").select("doc_id", "text").join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
-        fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c binary, a int, b int")
-        return fine.unionByName(self._large(parts.where("large"))).distinct()
-
-    def _large(self, parts: DataFrame) -> DataFrame:
-        win = cut(parts.mapInPandas(_exploded(self.length), "m long, c binary, lo long, hi long, step int, w binary"), "span-windows")
-        shared = win.groupBy("w").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("w")
-        hit = win.where("lo = hi").join(cut(shared, "shared-windows"), "w", "left_semi")  # its size is known when this is planned
-        return hit.select("m", "c", F.col("step").alias("a"), (F.col("step") + self.length).cast("int").alias("b"))
+        fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c long, a int, b int")
+        large, shared = self._large(parts.where("large"))
+        return fine.unionByName(large).distinct(), [parts, shared]
+
+    def _large(self, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        win = parts.mapInPandas(_exploded(self.length), "m long, c long, lo long, hi long, step int, w1 long, w2 long")
+        key = ["w1", "w2"]
+        shared = win.groupBy(*key).agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select(*key)
+        shared = cut(shared, "shared-windows")  # its size is known when the join is planned
+        hit = win.where("lo = hi").join(shared, key, "left_semi")
+        return hit.select("m", "c", F.col("step").alias("a"), (F.col("step") + self.length).cast("int").alias("b")), shared
 
     def compact(self) -> None:
         """Merge the runs; places of classes that are shared already are dropped."""
