@@ -234,3 +234,54 @@ def test_round_trip_query_keeps_all(spark, tmp_path):
     got = {r["record_id"]: (r["restored_md5"], r["one_surface"]) for r in text_queries.QUERIES["U01_round_trip"](spark, str(tmp_path)).collect()}
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert got == {"1": (md5("Yaz: a@x.com"), True), "2": (md5("A@x.com ve A@x.com"), False), "d": (md5("düz [metin]"), True)}
+
+
+def greedy_brute(spans):
+    """Reference: longer first, then more confident, then input order."""
+    kept = []
+    for i, (a, b, c) in sorted(enumerate(spans), key=lambda x: (-(x[1][1] - x[1][0]), -x[1][2], x[0])):
+        if all(b <= x or y <= a for x, y, _ in kept):
+            kept.append((a, b, c))
+    return sorted(kept)
+
+
+def test_overlaps_equal_brute_force(spark):
+    import random
+
+    from veilwright.functions import spans as S
+    from veilwright.operators import detect
+
+    r = random.Random(5)
+    lists = [[(a, a + r.randint(1, 9), r.choice([0.5, 0.8])) for a in (r.randint(0, n * 4) for _ in range(n))] for n in (0, 1, 3, 40, 700)]
+    rows = [(i, [(a, b, "Person", "regex", c, f"{a}-{b}", None) for a, b, c in spans]) for i, spans in enumerate(lists)] + [(9, None)]
+    got = {x["i"]: x["kept"] for x in spark.createDataFrame(rows, f"i int, spans {S.SPANS}").select("i", detect.without_overlaps(F.col("spans")).alias("kept")).collect()}
+    for i, spans in enumerate(lists):
+        assert [(s["start"], s["end"], s["confidence"]) for s in got[i]] == greedy_brute(spans)
+    assert got[9] is None
+
+
+def test_many_spans_in_one_text(spark):
+    """Numbering, mapping and substitution over blocks: a text with thousands of spans."""
+    from veilwright.operators import masking
+
+    text = "".join(f"a{i % 700}@x.example, 2024-02-{1 + i % 28:02d} 🙂\n" for i in range(1500))
+    row = masking.mask(spark.createDataFrame([(text,)], "text string"), "text", masking.Settings(mode="regex")).first()
+    number, out = {}, text
+    for i in range(1500):
+        number.setdefault(f"a{i % 700}@x.example", len(number) + 1)
+    days = {}
+    for i in range(1500):
+        days.setdefault(f"2024-02-{1 + i % 28:02d}", len(days) + 1)
+    want = "".join(f"{{Email_{number[f'a{i % 700}@x.example']}}}, {{Date_{days[f'2024-02-{1 + i % 28:02d}']}}} 🙂\n" for i in range(1500))
+    assert row["masked_text"] == want and len(row["spans"]) == 3000 and len(row["mapping"]) == 728
+    assert row["mapping"]["{Email_700}"] == "a699@x.example"
+
+
+def test_alias_links_in_the_plan(spark):
+    from veilwright.operators import masking
+
+    text = 'Arven Yapı Gıda (bundan böyle "Arven" olarak anılacaktır) ve Arven Lojistik'
+    df = spark.createDataFrame([(text,)], "text string")
+    entries = {"Arven Yapı Gıda": "ORG", "Arven Lojistik": "ORG"}
+    run = lambda **kw: masking.mask(df, "text", masking.Settings(mode="ner", entries=entries, **kw)).first()["masked_text"]
+    assert run().count("{Company_1}") == 1 and run(alias_links=True).count("{Company_1}") == 2

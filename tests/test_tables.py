@@ -208,3 +208,56 @@ def test_stream(spark, tmp_path):
     streams.write_masked(stream, "job_id", out, maps, str(tmp_path / "cp")).awaitTermination()
     assert {r["masked_text"] for r in spark.read.parquet(out).collect()} == {"{Email_1}", "yok"}
     assert spark.read.parquet(maps).first()["original"] == "a@b.co"
+
+
+def test_committed_appends(spark, tmp_path):
+    """Rows of several tables count together or not at all; what cannot be read is an empty table."""
+    root = str(tmp_path / "sinks")
+    raw = spark.createDataFrame([("j1", "Ali", "Person", "ner"), ("j2", "Veli", "Person", "regex")], "job_id string, text string, entity_label string, detector_source string")
+    sinks = audit.correction_sinks(raw, F.lit("2026-01-01").cast("timestamp"))
+    assert store.append_together(sinks, root) and store.append_together(sinks, root)
+    read = lambda n: store.read_together(spark, root, n, "job_id string, text string, text_hash string, event_type string").collect()
+    assert len(read("corrections")) == len(read("examples")) == len(read("audit_log")) == 4
+    assert {r["text"] for r in read("corrections")} == {None} and {r["text"] for r in read("examples")} == {"Ali", "Veli"}
+    broken = {"corrections": raw, "audit_log": raw.select(F.raise_error(F.lit("full disk")).alias("job_id"))}
+    assert store.append_together(broken, root) is None
+    assert len(read("corrections")) == 4
+    assert read("nothing") == [] and store.read_or_empty(spark, str(tmp_path / "no"), "a int, b string").columns == ["a", "b"]
+
+
+def test_policy_file(spark, tmp_path):
+    at = str(tmp_path / "sub" / "policy.json")
+    assert policy.load(at) is None
+    wanted = policy.update(policy.effective(policy.catalog(spark), policy.read(spark, None)), spark.createDataFrame([("Email", False)], "label string, enabled boolean"))
+    policy.save(wanted, at)
+    again = policy.effective(policy.catalog(spark), policy.read(spark, policy.load(at)))
+    assert policy.disabled(again) == ["Email"] and sorted(map(tuple, again.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_model_source_and_health(tmp_path):
+    from veilwright.operators import ner
+
+    here = str(tmp_path)
+    assert ner.model_source("x", [here], "hub") == "x" and ner.model_source(None, ["/no/such", here], "hub") == here and ner.model_source("", ["/no/such"], "hub") == "hub"
+    assert store.health(True) == {"status": "ok", "service": "veilwright", "ner_available": True}
+
+
+def test_sentences(spark, tmp_path):
+    from veilwright.operators import training
+
+    rows = training.sentences(spark, 300).collect()
+    assert rows == training.sentences(spark, 300).collect() != training.sentences(spark, 300, seed=14).collect()
+    for r in rows:
+        assert len(r["tokens"]) == len(r["tags"])
+        for before, tag in zip(["O", *r["tags"]], r["tags"]):
+            assert not tag.startswith("I-") or before[2:] == tag[2:]
+    store.write_jsonl(training.sentences(spark, 300), str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).count() == 300
+
+
+def test_requests_and_unreadable_paths(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"text": "a"}\n{"text": "b", "mode": "ner", "language": "tr", "manual_spans": [{"text": "x", "label": "Person"}]}\n')
+    got = {r["text"]: r for r in extract.read_requests(spark, str(tmp_path / "r.json")).collect()}
+    assert got["a"]["mode"] == "full" and got["b"]["mode"] == "ner" and got["b"]["manual_spans"][0]["label"] == "Person"
+    row = extract.extract(extract.read_files(spark, str(tmp_path / "missing.pdf"))).first()
+    assert row["filename"] == "missing.pdf" and row["error_message"] == "cannot read file" and row["pages"] == []
