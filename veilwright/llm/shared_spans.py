@@ -308,12 +308,17 @@ class SpanIndex:
         few = few.groupBy("m", "salt", "c").agg(*fold)  # in place: a notice shrinks to one row a part before it is shuffled
         self._append("classes", few.repartition(self.buckets, "m").groupBy("m", "c").agg(*fold), ["m"])
         classes = self._read("classes")
-        touched = classes.join(classes.where(f"batch = {n}").select("m").distinct(), "m", "left_semi")
-        old = lambda c: F.when(F.col("batch") < n, F.col(c))
-        touched = touched.groupBy("m", "c").agg(*fold, (F.max("batch") == n).alias("fresh"), (F.min(old("lo")) == F.max(old("hi"))).alias("was_single"))
-        differs = F.min("c") != F.max("c")
-        group = touched.groupBy("m").agg((differs & F.max("fresh") & (F.min("lo") != F.max("hi")) & F.max(F.col("lo") == F.col("hi"))).alias("open"), F.count("*").alias("size"))
-        touched = cut(touched.join(group, "m").where("open or (fresh and lo != hi)"), "span-classes")
+        if n:
+            old = lambda c: F.when(F.col("batch") < n, F.col(c))
+            touched = classes.join(classes.where(f"batch = {n}").select("m").distinct(), "m", "left_semi")
+            touched = touched.groupBy("m", "c").agg(*fold, (F.max("batch") == n).alias("fresh"), (F.min(old("lo")) == F.max(old("hi"))).alias("was_single"))
+        else:  # no earlier run to join
+            touched = classes.select("m", "c", "lo", "hi", "parts", F.lit(True).alias("fresh"), F.lit(False).alias("was_single"))
+        group = Window.partitionBy("m")  # of classes, which stand sorted by m
+        differs = F.min("c").over(group) != F.max("c").over(group)
+        several = (F.min("lo").over(group) != F.max("hi").over(group)) & (F.max(F.col("lo") == F.col("hi")).over(group))
+        touched = touched.withColumn("open", differs & several & F.max("fresh").over(group)).withColumn("size", F.count("*").over(group))
+        touched = cut(touched.where("open or (fresh and lo != hi)"), "span-classes")
 
         whole = touched.where("fresh and lo != hi").select("m", "c", F.coalesce("was_single", F.lit(False)).alias("was_single"), F.explode(self._parts()).alias("salt"))
         whole = self._read("places").join(whole, ["m", "salt", "c"]).where(F.col("was_single") | (F.col("batch") == n))
