@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Latin letters and the letters of other scripts drawn alike, pair by pair.
-LATIN_CYRILLIC = "aа eе oо pр cс yу xх iі jј sѕ hһ dԁ qԛ wԝ AА BВ EЕ KК MМ HН OО PР CС TТ XХ YУ YҮ IІ JЈ SЅ"
-LATIN_GREEK = "oο vν pρ aα iι AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
+LATIN_CYRILLIC = "vѵ aа eе oо pр cс yу xх iі jј sѕ hһ dԁ qԛ wԝ AА BВ EЕ KК MМ HН OО PР CС TТ XХ YУ YҮ IІ JЈ SЅ"
+LATIN_GREEK = "kκ oο vν pρ aα iι AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
+LATIN_CHEROKEE = "AᎪ BᏴ CᏟ DᎠ EᎬ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᏒ SᏚ TᎢ VᏙ WᎳ ZᏃ"
 LATIN_OTHER = "aɑ gɡ oօ uս hհ nո qզ OՕ SՏ"
 
 _FORMS = {"<wide>", "<narrow>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
@@ -70,7 +71,7 @@ def _plain() -> dict[int, str | None]:
 def _lattice_table() -> dict[str, tuple[str, ...]]:
     """Letter -> all letters drawn alike, the same tuple for each of them."""
     groups: dict[str, set[str]] = {}
-    for pair in f"{LATIN_CYRILLIC} {LATIN_GREEK} {LATIN_OTHER}".split():
+    for pair in f"{LATIN_CYRILLIC} {LATIN_GREEK} {LATIN_CHEROKEE} {LATIN_OTHER}".split():
         groups.setdefault(pair[0], {pair[0]}).add(pair[1])
     return {c: tuple(sorted(g)) for g in groups.values() for c in g}
 
@@ -189,11 +190,14 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
 def canonical_udf(model: Model) -> Callable:
     """Column function that gives the consistent form of a text."""
     score = model.score
+    key = hash(frozenset(score.items()))
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Model({})
-        m.score = score
+        if _tables.get("key") != key:  # a worker keeps the model and the runs it has seen from task to task
+            _tables["key"], _tables["model"] = key, Model({})
+            _tables["model"].score = score
+        m = _tables["model"]
         for s in batches:
             yield s.map(lambda t: None if t is None else m.canonical(t))
 
@@ -203,18 +207,15 @@ def canonical_udf(model: Model) -> Callable:
 def same_look(df: DataFrame, id_col: str, within: list[str], canonical: str = "canonical", text: str = "text") -> DataFrame:
     """Pairs of ids in one group of ``within`` whose texts differ and share a canonical form.
 
-    Only digests are shuffled; groups with one text are dropped before ids are paired.
+    Only digests are shuffled. Distinct texts of a look are paired first and ids join them afterwards, so that copies of
+    one text never meet each other.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *within, F.md5(F.col(canonical)).alias("look"), F.md5(F.col(text)).alias("exact")).where("look is not null")
-    key = [*within, "look"]
-    several = rows.groupBy(*key).agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo != hi").select(*key)
-    same = [F.col(f"several.{k}").eqNullSafe(F.col(f"rows.{k}")) for k in key]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    rows = rows.alias("rows").join(several.alias("several"), cond, "left_semi").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    cond = (F.col("a.id") < F.col("b.id")) & (F.col("a.exact") != F.col("b.exact"))
-    for k in key:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, cond).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in within], F.lit(""))).alias("grp"), F.md5(F.col(canonical)).alias("look"), F.md5(F.col(text)).alias("exact"))
+    rows = rows.where("look is not null")
+    texts = rows.select("grp", "look", "exact").distinct()
+    pairs = texts.alias("a").join(texts.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.look") == F.col("b.look")) & (F.col("a.exact") < F.col("b.exact")))
+    pairs = pairs.select("a.grp", F.col("a.exact").alias("x"), F.col("b.exact").alias("y"))
+    ids = rows.select("id", "grp", "exact").distinct()
+    first = pairs.join(ids.select("grp", F.col("exact").alias("x"), F.col("id").alias("p")), ["grp", "x"])
+    both = first.join(ids.select("grp", F.col("exact").alias("y"), F.col("id").alias("q")), ["grp", "y"]).where("p != q")
+    return both.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
