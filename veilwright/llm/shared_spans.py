@@ -21,8 +21,8 @@ however often it occurs, so a notice that stands everywhere is no hot key.
   inside one task; both ways find the same windows.
 
 Matches are appended; earlier runs are read but never shuffled or rewritten by a batch. :meth:`SpanIndex.compact` merges
-the runs, by itself once there are more than ``fan_in``, and drops places of classes that are shared already, as no later
-batch can add to them. :meth:`SpanIndex.coverage` joins the matches of each record into maximal runs.
+the runs, by itself once there are more than ``fan_in``, and keeps the places of a shared class in one record only, for
+comparisons, as no later batch can add to the others. :meth:`SpanIndex.coverage` joins the matches of each record into maximal runs.
 
 Defined results: null and shorter texts have no runs; copies of a text are covered whole; passages repeated only
 inside one record do not count; a ``doc_id`` that comes twice counts as one record; extra columns are ignored.
@@ -349,7 +349,7 @@ class SpanIndex:
         parts = cut(self._read("texts").select("doc_id", "text").join(wants, "doc_id").select("text", "wants").mapInPandas(_texts_of(self.length, self.gram), PART), "span-parts")
         fine = parts.where("not large").repartition("m").sortWithinPartitions("m").mapInPandas(_compare(self.length), "m long, c long, a int, b int")
         large, shared = self._large(parts.where("large"))
-        return fine.unionByName(large).distinct(), [parts, shared]
+        return fine.unionByName(large), [parts, shared]
 
     def _large(self, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         win = parts.mapInPandas(_exploded(self.length), "m long, c long, lo long, hi long, step int, w1 long, w2 long")
@@ -360,13 +360,14 @@ class SpanIndex:
         return hit.select("m", "c", F.col("step").alias("a"), (F.col("step") + self.length).cast("int").alias("b")), shared
 
     def compact(self) -> None:
-        """Merge the runs; places of classes that are shared already are dropped."""
+        """Merge the runs; of a class that is shared already only the places in its first record are kept."""
         old = {k: (self.tables.pop(k), self.paths.pop(k)) for k in ("places", "classes")}
         read = lambda k: self.spark.table(old[k][0])
         at, self.batches = self.batches, self.batches - 1
         classes = read("classes").groupBy("m", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("parts").alias("parts"))
-        single = classes.where("lo = hi").select("m", "c", salt(F.col("lo"), self.salts).alias("salt"))
-        self._append("places", read("places").drop("batch").join(single, ["m", "salt", "c"], "left_semi").select("m", "c", "doc_id", "x", "n", "salt"), ["m", "salt"])
+        first = classes.select("m", "c", "lo", salt(F.col("lo"), self.salts).alias("salt"))  # all places of a class that one record has
+        places = read("places").join(first, ["m", "salt", "c"]).where("doc_id = lo")
+        self._append("places", places.select("m", "c", "doc_id", "x", "n", "salt"), ["m", "salt"])
         self._append("classes", classes, ["m"])
         self.batches, self.runs = at, 1
         for name, path in old.values():
